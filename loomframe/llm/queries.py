@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, urlfilter
+from . import bpe, mixing, repetition, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_mixing": mixing.op4_mixing,
+    "op7_repetition": repetition.op7_repetition,
+    "op8_simhash": simhash.op8_simhash,
     "op10_url_filter": urlfilter.op10_url_filter,
 }
 
