@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, repetition, simhash, urlfilter
+from . import bpe, embeddings, mixing, quality, repetition, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_mixing": mixing.op4_mixing,
+    "op5_embeddings": embeddings.op5_embeddings,
     "op7_repetition": repetition.op7_repetition,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
     "op10_url_filter": urlfilter.op10_url_filter,
 }
 
