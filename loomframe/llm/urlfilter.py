@@ -58,7 +58,7 @@ class Cascade:
 
 def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     a, b = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
-    return [F.pmod(F.shiftrightunsigned(a, 1) + i * F.shiftrightunsigned(b, 8), F.lit(bits)) for i in range(hashes)]
+    return [F.pmod(F.shiftrightunsigned(a, 2) + i * F.shiftrightunsigned(b, 8), F.lit(bits)) for i in range(hashes)]
 
 
 def build(universe: DataFrame, listed: DataFrame, key: str = "key", max_bits: int = MAX_BITS) -> Cascade:
