@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, mixing, quality, repetition, simhash, urlfilter
+from . import bpe, chat, embeddings, mixing, pii, quality, repetition, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_pii": pii.op2_pii,
+    "op3_chat": chat.op3_chat,
     "op4_mixing": mixing.op4_mixing,
     "op5_embeddings": embeddings.op5_embeddings,
     "op7_repetition": repetition.op7_repetition,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_chat": chat.ORACLE,
     "op10_url_filter": urlfilter.ORACLE,
 }
