@@ -1,15 +1,65 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: from raw documents to token ids in training order.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage
+before it kept; all but the last return the columns of ``documents``. Null ids,
+texts and sources pass through every stage; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomframe.llm import bpe, linededup, mixing, quality, simhash
+from loomframe.llm.common import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts; it learns from the stage's own input and ``labels``."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
+    return judged.where("predicted = 1").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; those that lose all their lines go, ``n_chars`` is counted anew."""
+    rows = linededup.dedup_lines(docs.select(*COLUMNS))
+    rows = rows.where(F.coalesce(F.size("removed"), F.lit(-1)) != F.col("n_lines"))
+    rows = rows.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
+    return rows.select(*COLUMNS)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the mix takes, one row each, range-sorted by training position."""
+    rows = mixing.assign(docs, carry=COLUMNS)
+    return mixing.training_order(rows).select(*COLUMNS)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, with digests of the ids and of the text decoded from them."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_encode", bpe_encode),
+]
 
-STAGES: list = []
+#: The classifier and the fuzzy links are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

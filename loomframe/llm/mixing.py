@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, own_columns, table
+from .common import WORD, cut, table
 
 #: Weights by rank of the source, repeating: fixed values of the contract.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -82,18 +82,19 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     names = dict.fromkeys((id_col, source_col, *carry))
     rows = docs.select(*[docs[f"`{c}`"].alias(c) for c in names], word_count(docs[f"`{text_col}`"]).alias("_size"), F.xxhash64(docs[f"`{id_col}`"]).alias("_h"), F.xxhash64(docs[f"`{text_col}`"]).alias("_th"))
+    # A text key without nulls, so that the join below keeps the partitioning by it.
+    rows = rows.withColumn("_src", F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string"))))
     rows = rows.withColumn("_slot", F.pmod(F.shiftrightunsigned("_h", 12), F.lit(slots)))
-    rows = rows.repartition(F.col(source_col), F.col("_slot"))
-    sums = rows.groupBy(source_col, "_slot").agg(F.sum("_size").alias("_sum"))
-    by_source = Window.partitionBy(source_col)
+    sums = cut(rows.groupBy("_src", "_slot").agg(F.sum("_size").alias("_sum")))
+    rows = rows.repartition(F.col("_src"), F.col("_slot"))
+    by_source = Window.partitionBy("_src")
     sums = sums.withColumn("_before", F.sum("_sum").over(by_source.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)))
     sums = sums.withColumn("_before", F.coalesce("_before", F.lit(0))).withColumn("source_size", F.sum("_sum").over(by_source))
-    goal = targets(sums.groupBy(source_col).agg(F.max("source_size").alias("source_size")), source_col, weights, repeats)
-    sums = sums.drop("source_size").alias("s").join(goal.alias("g"), F.expr(f"s.`{source_col}` <=> g.`{source_col}`"))
-    sums = sums.select(F.col(f"s.`{source_col}`").alias("_src"), F.col("_slot").alias("_sl"), "_before", "source_size", "target", "class")
-    inner = Window.partitionBy(source_col, "_slot").orderBy("_h", id_col, "_size", "_th").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    rows = rows.join(sums, F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_slot") == F.col("_sl")))
+    whole = sums.groupBy("_src").agg(F.max("source_size").alias("source_size")).withColumn("_name", F.when(F.col("_src").startswith("+"), F.expr("substring(_src, 2)")))
+    goal = targets(whole, "_name", weights, repeats).select(F.when(F.col("_name").isNull(), "-").otherwise(F.concat(F.lit("+"), "_name")).alias("_src"), "source_size", "target", "class")
+    sums = sums.drop("source_size").join(goal, "_src").select("_src", "_slot", "_before", "source_size", "target", "class")
+    inner = Window.partitionBy("_src", "_slot").orderBy("_h", id_col, "_size", "_th").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(sums, ["_src", "_slot"])
     mid = F.col("_before") + F.col("_in") + F.col("_size") / 2
     starts = F.array(*[mid + p * F.col("source_size") for p in range(repeats)])
     starts = F.when(F.col("_size") > 0, F.filter(starts, lambda c: c <= F.col("target"))).otherwise(F.array().cast("array<double>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, mixing, pii, quality, repetition, simhash, urlfilter
+from . import bpe, chat, embeddings, linededup, mixing, pii, quality, repetition, simhash, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_mixing": mixing.op4_mixing,
     "op5_embeddings": embeddings.op5_embeddings,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_repetition": repetition.op7_repetition,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, own_columns, roots_of, table
+from .common import arrow_groups, arrow_map, connected_components, cut, roots_of, table
 
 SEED = 42
 WIDTH = 3
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every text as a signed long; null text counts as empty."""
-    source = own_columns(docs, id_col, text_col)
+    """``doc_id, th, fp``: hash and fingerprint of every text as signed longs; null text counts as empty."""
+    source = docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], [id_col, "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], [id_col, "th", "fp"])
 
-    return arrow_map(source, f, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, fp bigint", 512)
+    return arrow_map(source, f, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, th bigint, fp bigint", 512)
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -170,8 +170,8 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     return arrow_groups(rows, ["first", "block"], f, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+    """``doc_id, th, fp, root, component_id`` of every document; ``root`` names its group of fingerprints.
 
     ``component_id`` is the smallest id that a document reaches over links of
     fingerprints with ``budget`` or fewer differing bits (null ids are passed
@@ -180,12 +180,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
     least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    classes = connected_components(links(prints, budget))
-    named = least.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    groups = connected_components(links(prints, budget))
+    named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = cut(named)
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp").select(id_col, "th", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document, as in ``classes``."""
+    found = classes(docs, id_col, text_col, width, budget)
+    return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+    """One document of each group, all columns as they are: the smallest id, and of its rows one."""
+    found = classes(docs, id_col, text_col, width, budget).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("d"), F.col("th").alias("k"))).alias("s")).select("s.d", "s.k")
+    names = docs.columns
+    keyed = docs.select(*[docs[f"`{c}`"] for c in names], F.xxhash64(docs[f"`{text_col}`"]).alias("_key"))
+    rows = keyed.join(kept, (F.col("_key") == F.col("k")) & F.col(f"`{id_col}`").eqNullSafe(F.col("d")), "left_semi")
+    first = Window.partitionBy("_key", f"`{id_col}`").orderBy(F.lit(0))
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[f"`{c}`" for c in names])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
