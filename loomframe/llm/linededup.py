@@ -1,6 +1,7 @@
 """Fuzzy line dedup.
 
-Lines are normalised (lower case, words only). Equal ones are merged by a 128-bit
+Lines are normalised (lower case; ASCII punctuation and white space only separate
+words). Equal ones are merged by a 128-bit
 hash; the rest get a 64-bit SimHash of their words. Two lines link if their
 SimHashes differ in at most 3 bits and their normalised texts have an edit
 similarity of 0.8 or more. Such SimHashes agree in one of four blocks of 16 bits,
@@ -11,54 +12,104 @@ the smallest document, then line, stays.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, own_columns, table
+from .common import arrow_groups, arrow_map, connected_components, cut, release, table
 
 SIMILARITY = 0.8
 BITS, BLOCKS = 3, 4
 #: Lines with fewer words are never removed.
 MIN_WORDS = 5
-_WORDS = re.compile(r"[^\W_]+")
+#: Bytes that make up words: ASCII letters and digits, and all of non-ASCII characters.
+_WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Candidate pairs that are looked at together.
 PAIRS = 1 << 19
-
-
-def normalise(line: str) -> list[str]:
-    return _WORDS.findall(line.lower())
-
-
-@lru_cache(1 << 18)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each list of words; 0 for an empty one."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.fromiter((_word_hash(w) for words in lines for w in words), np.uint64, int(sizes.sum()))
-    out = np.zeros(len(lines), np.uint64)
-    full = np.flatnonzero(sizes)
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < len(full):
-        base = int(ends[full[at]] - sizes[full[at]])
-        upto = max(at + 1, int(np.searchsorted(ends[full], base + 65536, "right")))
-        part = full[at:upto]
-        bits = np.unpackbits(h[base : ends[part[-1]]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        count = np.add.reduceat(bits, ends[part] - sizes[part] - base, axis=0, dtype=np.int32)
-        out[part] = np.packbits(2 * count > sizes[part, None], axis=1).view(">u8").ravel()
-        at = upto
-    return out
+_M64 = (1 << 64) - 1
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_VALUE = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, np.uint64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def normalise(line: str) -> bytes:
+    """The words of a line in lower case, with single spaces."""
+    return b" ".join(_WORDS.findall(line.lower().encode("utf-8", "surrogatepass")))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64; kept and grown from call to call."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        out = np.ones(size, np.uint64)
+        done, step = 1, base & _M64
+        while done < size:
+            out[done : 2 * done] = out[:done] * np.uint64(step)
+            done, step = 2 * done, step * step & _M64
+        _powers[base] = have = out
+    return have[:n]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _spans(values: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each of the ranges of ``values``, from one prefix sum."""
+    n = len(values)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _power(base, n), dtype=np.uint64)))
+    return _mix((prefix[b] - prefix[a]) * _power(pow(base, -1, 1 << 64), n + 1)[a])
+
+
+def scan(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash."""
+    raw = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    text_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    ends = np.flatnonzero(data == 0x0A)
+    edge = np.diff(_IN_WORD[data].view(np.int8), prepend=0)
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    upto = np.searchsorted(a, ends)  # words before the end of each line
+    size = np.diff(upto, prepend=0)
+    good = np.flatnonzero(size >= max(1, min_words))
+    text = np.searchsorted(text_end, ends[good], "right")
+    first_line = np.concatenate(([0], np.searchsorted(ends, text_end)))
+    word = _spans(_VALUE[data], _BASES[0], a, b)
+    lo, hi = upto[good] - size[good], upto[good]
+    ids = np.column_stack([_spans(word, base, lo, hi) for base in _BASES[1:]])
+    return text, good - first_line[text], ids, simhashes(word, lo, hi)
+
+
+def simhashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """SimHash of each of the ranges of word hashes: a bit is 1 if it is in over half of them.
+
+    Eight one-byte counters lie in a word, so each range is counted in parts of
+    at most 255 hashes.
+    """
+    if not len(lo):
+        return np.zeros(0, np.uint64)
+    parts = (hi - lo + 254) // 255
+    first = np.cumsum(parts) - parts
+    at = np.repeat(lo - 255 * first, parts) + 255 * np.arange(int(parts.sum()))
+    stop = np.minimum(at + 255, np.repeat(hi, parts))
+    edges = np.column_stack((at, stop)).ravel()
+    low = np.uint64(0x0101010101010101)
+    padded = np.append(h, np.uint64(0))
+    count = np.empty((len(at), 8, 8), np.uint8)  # part, bit within a byte, byte
+    for j in range(8):
+        count[:, j, :] = np.ascontiguousarray(np.add.reduceat((padded >> np.uint64(j)) & low, edges)[::2]).view(np.uint8).reshape(-1, 8)
+    total = count.astype(np.int32) if len(at) == len(lo) else np.add.reduceat(count, first, axis=0, dtype=np.int32)
+    bits = 2 * total > (hi - lo)[:, None, None]
+    return np.packbits(bits.transpose(0, 2, 1).reshape(len(lo), 64), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def edit_similarity(a: str, b: str, least: float = SIMILARITY) -> float:
@@ -152,75 +203,59 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     source = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("dkey"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, number, lines = [], [], []
-        for r, text in enumerate(batch.column(1).to_pylist()):
-            if not text:
-                continue
-            for n, line in enumerate(text.split("\n")):
-                if len(words := normalise(line)) >= min_words:
-                    row.append(r)
-                    number.append(n)
-                    lines.append(words)
-        at = pa.array(row, pa.int32())
-        ids = pa.array([xxhash.xxh3_128_digest(" ".join(w)) for w in lines], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int32()), ids, pa.array(simhashes(lines).view(np.int64))], ["doc_id", "dkey", "line", "id", "sim"])
+        text, line, ids, sim = scan(batch.column(1).to_pylist(), min_words)
+        at = pa.array(text)
+        offsets = pa.py_buffer((16 * np.arange(len(text) + 1, dtype=np.int32)).tobytes())
+        keys = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), keys, pa.array(sim.view(np.int64))], ["doc_id", "dkey", "line", "id", "sim"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint", 256)
+    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint", 512)
 
 
-def _blocks(rows: DataFrame, *keep: str) -> DataFrame:
-    width = 64 // BLOCKS
-    each = [F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("sim", 64 - width * (b + 1)).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for b in range(BLOCKS)]
-    return rows.select("sim", *keep, F.inline(F.array(*each)))
+_WIDTH = 64 // BLOCKS
+
 
+def _place(sim: Column, block: int | Column) -> Column:
+    """Number of the block and its value in one: the shuffle key."""
+    b = F.lit(block) if isinstance(block, int) else block
+    value = F.expr(f"shiftrightunsigned(sim, {64 - _WIDTH} - {_WIDTH} * block)") if not isinstance(block, int) else F.shiftrightunsigned(sim, 64 - _WIDTH * (block + 1))
+    return (b * (1 << _WIDTH) + value.bitwiseAND(F.lit((1 << _WIDTH) - 1))).cast("int")
 
-def fuzzy_links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """``src, dst``: a spanning forest of the links between distinct lines; ``lines`` as from ``lines_of``."""
-    nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"))
+
+def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+    """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim)."""
     sims = nodes.groupBy("sim").agg(F.count("*").alias("n"))
+    rows = sims.select("sim", F.explode(F.array(*[_place(F.col("sim"), b) for b in range(BLOCKS)])).alias("place"))
 
     def partners(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sim, n, block, value = (batch.column(i).to_numpy() for i in range(4))
-        sim = sim.view(np.uint64)
+        sim, place = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         out_sim, out_block = [], []
         for b in range(BLOCKS):
-            at = np.flatnonzero(block == b)
-            hit = n[at] > 1 if b == 0 else np.zeros(len(at), bool)
-            for i, j in close_pairs(sim[at], value[at], b):
+            at = np.flatnonzero(place >> _WIDTH == b)
+            hit = np.zeros(len(at), bool)
+            for i, j in close_pairs(sim[at], place[at], b):
                 hit[i] = True
                 hit[j] = True
             out_sim.append(sim[at[hit]])
             out_block.append(np.full(int(hit.sum()), b, np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_sim).view(np.int64)), pa.array(np.concatenate(out_block))], ["sim", "block"])
 
-    wanted = cut(arrow_groups(_blocks(sims, "n"), ["block", "value"], partners, "sim bigint, block int"))
-    near = nodes.join(wanted.groupBy("sim").agg(F.collect_set("block").alias("blocks")), "sim").select("id", "sim", "blocks", "first.*")
-    places = near.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "blocks")).alias("want"))
+    near = arrow_groups(rows, ["place"], partners, "sim bigint, block int")
+    wanted = cut(near.unionAll(sims.where("n > 1").select("sim", F.lit(0).alias("block"))).groupBy("sim").agg(F.collect_set("block").alias("blocks")))
+    candidates = nodes.join(wanted, "sim").select("id", "sim", "blocks", "first.*")
+    places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "blocks")).alias("want"))
     source = docs.select(docs[f"`{id_col}`"].alias("d"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("k"))
-    held = source.join(places, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
-
-    def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sims_, blocks, words = [], [], [], []
-        for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            split = text.split("\n")
-            for w in want:
-                ids.append(w["id"])
-                sims_.append(w["sim"])
-                blocks.append(w["blocks"])
-                words.append(" ".join(normalise(split[w["line"]])))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sims_, pa.int64()), pa.array(blocks, pa.list_(pa.int32())), pa.array(words, pa.string())], ["id", "sim", "blocks", "words"])
-
-    found = arrow_map(held, texts, "id binary, sim bigint, blocks array<int>, words string")
-    width = 64 // BLOCKS
+    held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
+    # The lines themselves are cut out in the JVM; only they go to Python.
+    held = held.select(F.split("text", "\n").alias("lines"), "want")
+    found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["blocks"].alias("blocks"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
     found = found.select("id", "sim", "words", F.explode("blocks").alias("block"))
-    found = found.withColumn("value", F.expr(f"shiftrightunsigned(sim, 64 - {width} * (block + 1)) & {(1 << width) - 1}"))
-    found = found.select("block", "value", "sim", "id", "words").dropDuplicates(["block", "id"])
+    found = found.select(_place(F.col("sim"), F.col("block")).alias("place"), "sim", "id", "words").dropDuplicates(["place", "id"])
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        block, value, sim = (batch.column(i).to_numpy() for i in range(3))
-        sim = sim.view(np.uint64)
-        words = batch.column(4)
+        place, sim = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        words = batch.column(3)
         parent = list(range(batch.num_rows))
 
         def root(i: int) -> int:
@@ -231,13 +266,14 @@ def fuzzy_links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
         edges: list[tuple[int, int]] = []
         text: dict[int, str] = {}
         for b in range(BLOCKS):
-            at = np.flatnonzero(block == b)
-            for i, j in close_pairs(sim[at], value[at], b):
+            at = np.flatnonzero(place >> _WIDTH == b)
+            for i, j in close_pairs(sim[at], place[at], b):
                 for s in range(0, len(i), 1 << 14):
-                    roots = np.fromiter(map(root, range(batch.num_rows)), np.int64, batch.num_rows) if s or len(i) > 4096 else None
                     p, q = at[i[s : s + (1 << 14)]], at[j[s : s + (1 << 14)]]
-                    if roots is not None:
-                        open_ = roots[p] != roots[q]
+                    if len(i) > 4096:  # drop what is connected already
+                        seen = np.unique(np.concatenate((p, q)))
+                        roots = np.fromiter(map(root, seen.tolist()), np.int64, len(seen))
+                        open_ = roots[np.searchsorted(seen, p)] != roots[np.searchsorted(seen, q)]
                         p, q = p[open_], q[open_]
                     for x, y in zip(p.tolist(), q.tolist()):
                         rx, ry = root(x), root(y)
@@ -245,27 +281,30 @@ def fuzzy_links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
                             continue
                         for z in (x, y):
                             if z not in text:
-                                text[z] = words[z].as_py()
+                                text[z] = normalise(words[z].as_py()).decode("utf-8", "replace")
                         if edit_similarity(text[x], text[y], least) >= least:
                             parent[max(rx, ry)] = min(rx, ry)
                             edges.append((x, y))
-        ids = batch.column(3)
+        ids = batch.column(2)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array([e[k] for e in edges], pa.int64())) for k in (0, 1)], ["src", "dst"])
 
-    return arrow_groups(found, ["block", "value"], verified, "src binary, dst binary", 16384)
+    return arrow_groups(found, ["place"], verified, "src binary, dst binary", 16384)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
     lines = cut(lines_of(docs, id_col, text_col, min_words))
-    classes = connected_components(fuzzy_links(lines, docs, id_col, text_col, least)).withColumnRenamed("node", "id")
-    nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.count("*").alias("n"))
-    nodes = nodes.join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("root"))
-    nodes = cut(nodes)
-    kept = nodes.groupBy("root").agg(F.min("first").alias("keep"))
-    fate = nodes.join(kept, "root").select("id", "keep")
+    nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")))
+    classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least)).withColumnRenamed("node", "id")
+    release(docs.sparkSession)
+    several = nodes.join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("root"))
+    several = cut(several)
+    kept = several.groupBy("root").agg(F.min("first").alias("keep"))
+    fate = several.join(kept, "root").select("id", "keep")
     gone = lines.select("doc_id", "dkey", "line", "id").join(fate, "id").where(~F.struct("doc_id", "line", "dkey").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id", "dkey").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = cut(gone.groupBy("doc_id", "dkey").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    release(docs.sparkSession)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:
