@@ -50,6 +50,25 @@ def eval_expression(c: Column | str, mode: str = "FAILFAST") -> Column:
     return run(c)
 
 
+def eval_decoded(e: Column, depth: int) -> Column:
+    """The value of an expression that has been decoded with ``schemas.expression(depth)``, in the JVM.
+
+    Null where the row-wise evaluation has an error, and for expressions with
+    more levels of calls than ``depth``.
+    """
+    out = F.when(e["which"] == "literal", e["literal"])
+    if not depth:
+        return out
+    op = e["call"]["op"]
+    values = F.transform(e["call"]["params"], lambda p: eval_decoded(p, depth - 1))
+    step = lambda a, x: (
+        F.when(op == "add", a + x).when(op == "subtract", a - x).when(op == "multiply", a * x).when((op == "divide") & (x != 0), F.try_divide(a, x))
+    )
+    fold = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), step)
+    known = op.isin(*schemas.OPERATIONS) & (F.size(values) > 0)
+    return F.when(e["which"] == "call", F.when(known, fold)).otherwise(out)
+
+
 def expression_of(op: str, *params: Column) -> Column:
     """A call as a column for ``schemas.expression``: numbers become literals, structs are calls."""
     return F.struct(F.lit("call").alias("which"), F.struct(F.lit(op).alias("op"), F.array(*params).alias("params")).alias("call"))

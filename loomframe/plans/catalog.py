@@ -408,7 +408,16 @@ def expr_eval(spark, sf_dir):
     inner = F.struct(F.lit("call").alias("which"), F.lit(None).cast("double").alias("literal"), call("add", lit(F.col("l_quantity")), lit(F.col("l_tax")))["call"].alias("call"))
     other = F.struct(F.lit("literal").alias("which"), F.col("l_discount").alias("literal"), F.when(F.lit(False), call("add", lit(F.col("l_quantity")), lit(F.col("l_tax")))["call"]).alias("call"))
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", call("multiply", inner, other).alias("expression"))
-    return fr.encode(df, s, keep=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", calculator.eval_expression(F.col("frame")).alias("value"))
+    rows = fr.decode(fr.encode(df, s, keep=["l_orderkey", "l_linenumber"]), s, keep=["l_orderkey", "l_linenumber"])
+    return rows.select("l_orderkey", "l_linenumber", calculator.eval_decoded(F.col("expression"), 2).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_totalprice / (o_custkey % 5) END AS value FROM orders")
+def expr_eval_rowwise(spark, sf_dir):
+    """The exact evaluation, frame by frame; division by zero is an error."""
+    s = schemas.evaluate_request(1)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", calculator.expression_of("divide", calculator.literal(F.col("o_totalprice")), calculator.literal(F.col("o_custkey") % 5)).alias("expression"))
+    return fr.encode(df, s, keep=["o_orderkey"]).select("o_orderkey", calculator.eval_expression(F.col("frame"), "PERMISSIVE").alias("value"))
 
 
 # Pointer words.

@@ -101,7 +101,7 @@ def replay_batch(log: DataFrame, handlers: Handlers | None = None, **args) -> Da
     """The same for a whole log at once, vat by vat."""
     handlers = handlers or {}
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sent = step(Vat(**args), rows, handlers)
         return pd.DataFrame([(key[0], *r) for r in sent], columns=["vat_id", "conn_id", "seq", "n", "frame", "error"])
 
