@@ -107,10 +107,11 @@ def format_trees(messages: DataFrame, tree: str = "tree_id", node: str = "node_i
     Null roles and texts count as empty. Repeated rows of one message are one
     message with the smallest role and text. An empty table gives none.
     """
-    rows = own_columns(messages, *dict.fromkeys(c for c in (tree, node, parent, role, text, score) if c))
-    chosen = paths(rows, tree, node, parent, score, keep)
-    content = rows.groupBy(tree, node).agg(F.min(F.struct(role, text)).alias("c")).select(_key(F.col(tree)).alias("t"), _key(F.col(node)).alias("n"), F.col(tree).alias("tree_id"), "c")
-    turns = chosen.join(content, ["t", "n"]).groupBy("t", "leaf", "rank").agg(F.min("tree_id").alias("tree_id"), F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("o"), F.col(f"c.{role}").alias("r"), F.col(f"c.{text}").alias("x")))).alias("turns"))
+    used = [tree, node, parent, role, text] + ([score] if score else [])
+    rows = own_columns(messages, *used).toDF("tree", "node", "parent", "role", "text", *(["score"] if score else []))
+    chosen = paths(rows, "tree", "node", "parent", "score" if score else None, keep)
+    content = rows.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("c")).select(_key(F.col("tree")).alias("t"), _key(F.col("node")).alias("n"), F.col("tree").alias("tree_id"), "c")
+    turns = chosen.join(content, ["t", "n"]).groupBy("t", "leaf", "rank").agg(F.min("tree_id").alias("tree_id"), F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("o"), F.col("c.role").alias("r"), F.col("c.text").alias("x")))).alias("turns"))
     turns = turns.select("tree_id", "leaf", "rank", "turns")
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -125,9 +126,9 @@ def format_trees(messages: DataFrame, tree: str = "tree_id", node: str = "node_i
 
 def chain(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Linear conversations as reply trees: each row answers the one before it, by turn, then role and text (nulls first)."""
-    w = Window.partitionBy(conv).orderBy(turn, role, text)
-    rows = own_columns(conversations, conv, turn, role, text).withColumn("node_id", F.row_number().over(w))
-    return rows.select(F.col(conv).alias("tree_id"), "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = own_columns(conversations, conv, turn, role, text).toDF("tree_id", "turn", "role", "text")
+    rows = rows.withColumn("node_id", F.row_number().over(Window.partitionBy("tree_id").orderBy("turn", "role", "text")))
+    return rows.select("tree_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -45,9 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1, ...: no name can clash with those of an operator."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; whatever else the input has cannot clash then."""
-    return df.select(*[df[f"`{n}`"].alias(n) for n in names])
+    """Only the named columns (the first of each name); whatever else the input has cannot clash then."""
+    at = [df.columns.index(n) for n in names]
+    return numbered(df).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:

@@ -84,15 +84,14 @@ def linked(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", ve
     null id, link with nothing: no links, and their own id as component. Equal
     rows link with each other; an empty table gives an empty result.
     """
-    v = F.col(vector_col)
-    rows = own_columns(vectors, id_col, vector_col, label_col)
+    rows = own_columns(vectors, id_col, vector_col, label_col).toDF("id", "vec", "label")
+    v = F.col("vec")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = v.isNotNull() & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
+    good = v.isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
-    keyed = rows.select(id_col, label_col, vector_col, F.when(good, F.xxhash64(vector_col)).alias("h1"), F.when(good, F.xxhash64(F.lit(1), vector_col)).alias("h2"))
-    reps = keyed.where("h1 is not null").groupBy(label_col, "h1", "h2").agg(F.min(id_col).alias("rep"), F.count("*").alias("mult"), F.first(vector_col).alias("v"))
-    reps = cut(reps.select("rep", F.col(label_col).alias("label"), "mult", "v", "h1", "h2", F.size("v").alias("d")))
-    label_kind = reps.schema["label"].dataType.simpleString()
+    keyed = rows.select("id", "label", "vec", F.when(good, F.xxhash64("vec")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "vec")).alias("h2"))
+    reps = keyed.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("v"))
+    reps = cut(reps.select("rep", "label", "mult", "v", "h1", "h2", F.size("v").alias("d")))
     id_kind = reps.schema["rep"].dataType.simpleString()
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,9 +159,9 @@ def linked(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", ve
     classes = connected_components(found.select("rep", "root").distinct(), "rep", "root").withColumnRenamed("node", "rep")
     info = reps.select("rep", F.col("label").alias("_label"), "h1", "h2", "mult").join(sums, "rep", "left").join(classes, "rep", "left")
     info = info.select("_label", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = keyed.drop(vector_col).join(info, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col(label_col) == F.col("_label")), "left")
-    component = F.coalesce("c", id_col)
-    return out.select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))
+    out = keyed.drop("vec").join(info, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("label") == F.col("_label")), "left")
+    component = F.coalesce("c", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def _rank(column: pa.Array) -> np.ndarray:

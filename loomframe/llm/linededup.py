@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, release, table
+from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, release, table
 
 SIMILARITY = 0.8
 BITS, BLOCKS = 3, 4
@@ -200,7 +200,7 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int) -> Iterator[tup
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``doc_id, dkey, line, id, sim`` of each line with enough words; ``dkey`` is a hash of the text."""
-    source = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("dkey"))
+    source = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("dkey", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, line, ids, sim = scan(batch.column(1).to_pylist(), min_words)
@@ -245,7 +245,7 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     wanted = cut(near.unionAll(sims.where("n > 1").select("sim", F.lit(0).alias("block"))).groupBy("sim").agg(F.collect_set("block").alias("blocks")))
     candidates = nodes.join(wanted, "sim").select("id", "sim", "blocks", "first.*")
     places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "blocks")).alias("want"))
-    source = docs.select(docs[f"`{id_col}`"].alias("d"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("k"))
+    source = own_columns(docs, id_col, text_col).toDF("d", "text").withColumn("k", F.xxhash64("text"))
     held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
     # The lines themselves are cut out in the JVM; only they go to Python.
     held = held.select(F.split("text", "\n").alias("lines"), "want")
@@ -315,26 +315,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows of one id with different texts are different documents. Other columns are
     kept; columns named ``n_lines`` or ``removed`` are replaced.
     """
-    fate = decisions(docs, id_col, text_col, min_words, least).select(F.col("doc_id").alias("_d"), F.col("dkey").alias("_k"), F.col("removed").alias("_removed"))
-    names = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    keyed = docs.select(*[docs[f"`{c}`"] for c in names], F.xxhash64(docs[f"`{text_col}`"]).alias("_key"))
-    joined = keyed.join(fate, F.col(f"`{id_col}`").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").select(*[f"`{c}`" for c in names], "_removed")
+    fate = decisions(docs, id_col, text_col, min_words, least).toDF("lost_id", "lost_key", "lost")
+    at = [i for i, c in enumerate(docs.columns) if c not in ("n_lines", "removed")]
+    names, cols = [docs.columns[i] for i in at], [f"c{i}" for i in at]
     t = names.index(text_col)
+    keyed = numbered(docs).select(*cols).withColumn("key", F.xxhash64(cols[t]))
+    joined = keyed.join(fate, F.col(cols[names.index(id_col)]).eqNullSafe(F.col("lost_id")) & (F.col("key") == F.col("lost_key")), "left").select(*cols, "lost")
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, count = [], []
-        for text, gone in zip(batch.column(t).to_pylist(), batch.column(len(names)).to_pylist()):
+        for text, gone in zip(batch.column(t).to_pylist(), batch.column(len(cols)).to_pylist()):
             count.append(0 if text is None else text.count("\n") + 1)
             if gone:
                 lost = set(gone)
                 text = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in lost)
             out.append(text)
-        columns = [pa.array(out, pa.string()) if i == t else batch.column(i) for i in range(len(names))]
-        removed = batch.column(len(names))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), removed], [*names, "n_lines", "removed"])
+        columns = [pa.array(out, pa.string()) if i == t else batch.column(i) for i in range(len(cols))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), batch.column(len(cols))], [*cols, "n_lines", "removed"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return arrow_map(joined, f, schema + ", n_lines bigint, removed array<int>", 512)
+    schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in cols)
+    return arrow_map(joined, f, schema + ", n_lines bigint, removed array<int>", 512).toDF(*names, "n_lines", "removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, numbered, own_columns, table
 
 #: Weights by rank of the source, repeating: fixed values of the contract.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -80,38 +80,44 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     The prefix sums run in two steps, within hash ranges of a source and over the
     sums of those ranges, so that a source with most rows is spread over many tasks.
     """
-    names = dict.fromkeys((id_col, source_col, *carry))
-    rows = docs.select(*[docs[f"`{c}`"].alias(c) for c in names], word_count(docs[f"`{text_col}`"]).alias("_size"), F.xxhash64(docs[f"`{id_col}`"]).alias("_h"), F.xxhash64(docs[f"`{text_col}`"]).alias("_th"))
+    names = list(dict.fromkeys((id_col, source_col, *carry)))
+    cols = [f"k{i}" for i in range(len(names))]
+    rows = own_columns(docs, *names, *([] if text_col in names else [text_col]))
+    rows = rows.toDF(*cols, *([] if text_col in names else ["text"]))
+    text, source, i = (cols[names.index(text_col)] if text_col in names else "text"), cols[1], cols[0]
+    rows = rows.select(*cols, word_count(F.col(text)).alias("size"), F.xxhash64(i).alias("h"), F.xxhash64(text).alias("th"))
     # A text key without nulls, so that the join below keeps the partitioning by it.
-    rows = rows.withColumn("_src", F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string"))))
-    rows = rows.withColumn("_slot", F.pmod(F.shiftrightunsigned("_h", 12), F.lit(slots)))
-    sums = cut(rows.groupBy("_src", "_slot").agg(F.sum("_size").alias("_sum")))
-    rows = rows.repartition(F.col("_src"), F.col("_slot"))
-    by_source = Window.partitionBy("_src")
-    sums = sums.withColumn("_before", F.sum("_sum").over(by_source.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)))
-    sums = sums.withColumn("_before", F.coalesce("_before", F.lit(0))).withColumn("source_size", F.sum("_sum").over(by_source))
-    whole = sums.groupBy("_src").agg(F.max("source_size").alias("source_size")).withColumn("_name", F.when(F.col("_src").startswith("+"), F.expr("substring(_src, 2)")))
-    goal = targets(whole, "_name", weights, repeats).select(F.when(F.col("_name").isNull(), "-").otherwise(F.concat(F.lit("+"), "_name")).alias("_src"), "source_size", "target", "class")
-    sums = sums.drop("source_size").join(goal, "_src").select("_src", "_slot", "_before", "source_size", "target", "class")
-    inner = Window.partitionBy("_src", "_slot").orderBy("_h", id_col, "_size", "_th").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(sums, ["_src", "_slot"])
-    mid = F.col("_before") + F.col("_in") + F.col("_size") / 2
+    rows = rows.withColumn("src", F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string"))))
+    rows = rows.withColumn("slot", F.pmod(F.shiftrightunsigned("h", 12), F.lit(slots)))
+    sums = cut(rows.groupBy("src", "slot").agg(F.sum("size").alias("sum")))
+    by_source = Window.partitionBy("src")
+    sums = sums.withColumn("before", F.sum("sum").over(by_source.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)))
+    sums = sums.withColumn("before", F.coalesce("before", F.lit(0))).withColumn("source_size", F.sum("sum").over(by_source))
+    whole = sums.groupBy("src").agg(F.max("source_size").alias("source_size")).withColumn("name", F.when(F.col("src").startswith("+"), F.expr("substring(src, 2)")))
+    goal = targets(whole, "name", weights, repeats).select(F.when(F.col("name").isNull(), "-").otherwise(F.concat(F.lit("+"), "name")).alias("src"), "source_size", "target", "class")
+    sums = sums.drop("source_size").join(goal, "src").select("src", "slot", "before", "source_size", "target", "class")
+    rows = rows.repartition(F.col("src"), F.col("slot"))
+    inner = Window.partitionBy("src", "slot").orderBy("h", i, "size", "th").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["src", "slot"])
+    mid = F.col("before") + F.col("inside") + F.col("size") / 2
     starts = F.array(*[mid + p * F.col("source_size") for p in range(repeats)])
-    starts = F.when(F.col("_size") > 0, F.filter(starts, lambda c: c <= F.col("target"))).otherwise(F.array().cast("array<double>"))
+    starts = F.when(F.col("size") > 0, F.filter(starts, lambda c: c <= F.col("target"))).otherwise(F.array().cast("array<double>"))
     curves = F.array(*[F.array(*map(F.lit, s)) for s in schedules])
     knots = F.element_at(curves, F.col("class") % len(schedules) + 1)
-    rows = rows.withColumn("_starts", starts).withColumn("_knots", knots)
-    positions = F.transform("_starts", lambda c: invert(c / F.col("target"), F.col("_knots"), len(schedules[0])))
-    return rows.select(
-        *names, F.col("_size").alias("size"), "source_size", "target", F.size("_starts").alias("copies"), (F.size("_starts") * F.col("_size")).cast("long").alias("taken"), positions.alias("positions")
-    )
+    rows = rows.withColumn("starts", starts).withColumn("knots", knots)
+    positions = F.transform("starts", lambda c: invert(c / F.col("target"), F.col("knots"), len(schedules[0])))
+    out = rows.select(*cols, "size", "source_size", "target", F.size("starts").alias("copies"), (F.size("starts") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
+    return out.toDF(*names, *out.columns[len(names) :])
 
 
 def training_order(assigned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per taken copy with its ``position``, range-sorted by it."""
-    rest = [c for c in assigned.columns if c != "positions"]
-    copies = assigned.select(*rest, F.explode("positions").alias("position"))
-    return copies.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+    at = assigned.columns.index("positions")
+    rest = [i for i in range(len(assigned.columns)) if i != at]
+    copies = numbered(assigned).select(*[f"c{i}" for i in rest], F.explode(f"c{at}").alias("position"))
+    key = f"c{assigned.columns.index(id_col)}"
+    out = copies.repartitionByRange("position", key).sortWithinPartitions("position", key)
+    return out.toDF(*[assigned.columns[i] for i in rest], "position")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ from .common import arrow_map, own_columns, table
 
 #: Labelled rows of each class that the fit takes at most, and the longest text among them.
 MAX_ROWS, MAX_CHARS = 4000, 65_536
-DICT_BYTES, PIECE, LEVEL = 65_536, 2048, 3
+#: Chosen by accuracy on one training fold of a model fitted on the others, at three sizes.
+DICT_BYTES, PIECE, LEVEL = 112_640, 512, 3
 #: Score from which a document counts as good: fixed value of the contract.
 THRESHOLD = 0.3
 FOLDS = 5
@@ -83,7 +84,7 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(cut)[-DICT_BYTES:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(x.shape[1])
     for _ in range(60):

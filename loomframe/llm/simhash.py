@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, roots_of, table
+from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, roots_of, table
 
 SEED = 42
 WIDTH = 3
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``doc_id, th, fp``: hash and fingerprint of every text as signed longs; null text counts as empty."""
-    source = docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
+    source = own_columns(docs, id_col, text_col).toDF(id_col, "text").withColumn("th", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -195,13 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
     """One document of each group, all columns as they are: the smallest id, and of its rows one."""
-    found = classes(docs, id_col, text_col, width, budget).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("d"), F.col("th").alias("k"))).alias("s")).select("s.d", "s.k")
+    found = classes(own_columns(docs, id_col, text_col).toDF("id", "text"), "id", "text", width, budget).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("kept_id"), F.col("s.th").alias("kept_th"))
     names = docs.columns
-    keyed = docs.select(*[docs[f"`{c}`"] for c in names], F.xxhash64(docs[f"`{text_col}`"]).alias("_key"))
-    rows = keyed.join(kept, (F.col("_key") == F.col("k")) & F.col(f"`{id_col}`").eqNullSafe(F.col("d")), "left_semi")
-    first = Window.partitionBy("_key", f"`{id_col}`").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[f"`{c}`" for c in names])
+    i, t = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    keyed = numbered(docs).withColumn("key", F.xxhash64(t))
+    rows = keyed.join(kept, (F.col("key") == F.col("kept_th")) & i.eqNullSafe(F.col("kept_id")), "left_semi")
+    first = Window.partitionBy("key", i).orderBy(F.lit(0))
+    return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

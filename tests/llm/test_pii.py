@@ -1,0 +1,88 @@
+import random
+import re
+
+from loomframe.llm import pii
+
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def brute(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    fine = (
+        lambda s: True,
+        lambda s: all(int(x) <= 255 for x in s.split(".")),
+        lambda s: 12 <= len(digits(s)) <= 19 and pii.luhn(digits(s)),
+        lambda s: 9 <= len(digits(s)) <= 15,
+    )
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if fine[k](m[0]))
+
+
+def test_base_spans_against_the_patterns():
+    rng = random.Random(1)
+    parts = ["a", "b.c", "@", "@@", ".", "..", "1", "255", "256", "1.2.3.4", "+1 ", "(555) ", "-", " ", "4111111111111111", "%", "é", "\n", "0", "00"]
+    for _ in range(8000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_field_accuracy_on_unseen_sentences():
+    w, rng = pii.train(), random.Random(99)
+    hit = false = missed = 0
+    for _ in range(200):
+        text, gold = pii._invented(rng)
+        base = pii.base_spans(text)
+        got = {(a, b, k) for a, k, b in base + pii.added_spans(text, base, w)}
+        hit, false, missed = hit + len(got & set(gold)), false + len(got - set(gold)), missed + len(set(gold) - got)
+    assert hit / (hit + false) > 0.95 and hit / (hit + missed) > 0.95
+
+
+def test_best_segmentation_is_the_best_of_all():
+    rng = random.Random(3)
+    import numpy as np
+
+    def every(n, found, at=0):
+        if at == n:
+            yield []
+            return
+        yield from every(n, found, at + 1)
+        for k, (i, j, *_) in enumerate(found):
+            if i == at:
+                for kind in range(5):
+                    yield from ([(k, kind), *rest] for rest in every(n, found, j))
+
+    for _ in range(30):
+        n = 5
+        found = [(i, j, 0, 0, []) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1) if rng.random() < 0.4]
+        s = np.array([[rng.uniform(-2, 2) for _ in range(5)] for _ in found]).reshape(-1, 5)
+        total = lambda seg: sum(s[k, kind] for k, kind in seg)
+        paths = list(every(n, found))
+        assert abs(total(pii.best(n, found, s)) - max(map(total, paths))) < 1e-9
+        z, p = pii._marginals(n, found, s)
+        assert abs(z - np.log(sum(np.exp(total(x)) for x in paths))) < 1e-9
+        for k in range(len(found)):
+            for kind in range(5):
+                assert abs(p[k, kind] - sum(np.exp(total(x) - z) for x in paths if (k, kind) in x)) < 1e-9
+
+
+def test_finds_and_masks():
+    text = 'write to jo [at] mail [dot] org or 7536784127813050 4845168114407329, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"; not 2024-10-12 nor 12.5'
+    assert pii.mask(text) == 'write to [EMAIL] or [CARD] [CARD], token = "[SECRET]"; not 2024-10-12 nor 12.5'
+    assert pii.mask(None) is None and pii.mask("") == ""
+
+
+def test_odd_rows(odd, clash):
+    rows = pii.find(odd).collect()
+    assert len(rows) == 11 and rows[-1].n_email == 1 and rows[-1].n_phone == 1 and rows[4].spans == ""
+    assert sorted(map(repr, pii.find(clash).collect())) == sorted(map(repr, rows)) and pii.find(odd.limit(0)).collect() == []
+    for r, d in zip(rows, odd.collect()):
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(d.text or "")]
+        assert set(base) <= set(filter(None, r.spans.split(",")))
+
+
+def test_digits_without_end_stay_linear():
+    assert pii.added_spans("1 " * 30_000, [], pii.train()) == [] and pii.base_spans("a" * 300_000 + "@") == []
