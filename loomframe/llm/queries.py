@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_chat": chat.ORACLE,
+    "op5_embeddings": embeddings.ORACLE,
+    "op7_repetition": repetition.ORACLE,
     "op10_url_filter": urlfilter.ORACLE,
 }

@@ -174,3 +174,31 @@ def coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """SQL for ``op7_repetition``: windows as lists of words, one branch for each n."""
+    windows = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, i, ws[i : i + {n - 1}] AS g FROM w, unnest(range(1, len(ws) - {n} + 2)) t(i)" for n in LIMITS)
+    share = "".join(f", coalesce(max(c.chars) FILTER (c.n = {n}), 0) AS chars_{n}, coalesce(max(c.words) FILTER (c.n = {n}), 0) AS words_{n}" for n in LIMITS)
+    good = " AND ".join(f"chars_{n} <= {most} * word_chars" for n, most in LIMITS.items())
+    shown = ", ".join(f"CAST(chars_{n} AS DOUBLE) / greatest(word_chars, 1) AS dup_{n}_share" for n in LIMITS)
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, coalesce(text, '') AS text FROM documents),
+g AS ({windows}),
+r AS (SELECT doc_id, n, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1),
+p AS (SELECT DISTINCT doc_id, n, i + k AS at FROM r, unnest(range(0, 10)) t(k) WHERE k < n),
+c AS (SELECT p.doc_id, p.n, count(*) AS words, sum(length(w.ws[p.at])) AS chars FROM p JOIN w USING (doc_id) GROUP BY ALL),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+m AS (SELECT doc_id, line, count(*) AS k FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+n AS (SELECT doc_id, sum(k - 1) AS n_dup_lines, sum(k * length(line)) AS line_chars, sum((k - 1) * length(line)) AS dup_line_chars FROM m GROUP BY 1),
+a AS (
+  SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS n_symbols, coalesce(any_value(n.n_dup_lines), 0) AS n_dup_lines, coalesce(any_value(n.line_chars), 0) AS line_chars, coalesce(any_value(n.dup_line_chars), 0) AS dup_line_chars{share}
+  FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY w.doc_id, ws, w.text)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(words_{BASE_N} AS BIGINT) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * words_{BASE_N} > {MAX_REPEAT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * words_{BASE_N} > {MAX_REPEAT} * n_words) AND {good} AND dup_line_chars <= {LINE_LIMIT} * line_chars AS kept,
+  {shown}, CAST(dup_line_chars AS DOUBLE) / greatest(line_chars, 1) AS dup_line_share FROM a"""
+
+
+ORACLE = _oracle()

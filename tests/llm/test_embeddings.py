@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from loomframe.llm import embeddings
@@ -69,3 +70,11 @@ def test_recall_at_the_bound():
     assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() > 0.999
     r = next(embeddings.rotations(x, 1))
     assert np.allclose(np.linalg.norm(r, axis=1), 1)
+
+
+def test_query_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    df = embeddings.op5_embeddings(spark, sf_dir)
+    rel = con.sql(embeddings.ORACLE).order("vec_id")
+    assert df.columns == rel.columns and sorted(map(tuple, df.collect())) == rel.fetchall()

@@ -1,6 +1,8 @@
 import collections
 import re
 
+import duckdb
+
 from loomframe.llm import repetition
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,3 +43,11 @@ def test_odd_rows(odd, clash):
     rows = repetition.coverage(odd).collect()
     assert len(rows) == 11 and rows[0][1:] == rows[1][1:]
     assert sorted(map(repr, repetition.coverage(clash).collect())) == sorted(map(repr, rows)) and repetition.coverage(odd.limit(0)).collect() == []
+
+
+def test_query_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    df = repetition.op7_repetition(spark, sf_dir)
+    rel = con.sql(repetition.ORACLE).order("doc_id")
+    assert df.columns == rel.columns and sorted(map(tuple, df.collect())) == rel.fetchall()
