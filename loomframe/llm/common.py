@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,19 +19,30 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset (tests on one machine) a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: smaller than a checkpoint for whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of what has been cut.
 
@@ -115,7 +127,7 @@ def arrow_groups(
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index that each of ``n`` nodes reaches over the links ``a``-``b``."""
+    """Smallest index that each of ``n`` nodes reaches over the links ``a``-``b``; a given ``parent`` is updated."""
     parent = np.arange(n) if parent is None else parent
     while True:
         ra, rb = parent[a], parent[b]

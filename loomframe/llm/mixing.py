@@ -22,8 +22,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.25, 1.0, 0.75), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 #: A source is not repeated more often than this.
 REPEATS = 3
-#: Slots over which the documents of each source are spread.
-SLOTS = 1024
+#: Documents that a slot, a range of hashes within a source, should hold at most if
+#: one source has all; and the least number of slots as a power of two.
+SLOT_ROWS, LEAST_SLOTS = 65_536, 10
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +68,7 @@ def invert(u: Column, knots: Column, n: int) -> Column:
     return out
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, schedules=SCHEDULES, repeats: int = REPEATS, slots: int = SLOTS) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, schedules=SCHEDULES, repeats: int = REPEATS, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken, positions`` of every document, plus the ``carry`` columns.
 
     ``positions`` has the training position (0..1) of each copy that the mix
@@ -79,6 +80,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     The prefix sums run in two steps, within hash ranges of a source and over the
     sums of those ranges, so that a source with most rows is spread over many tasks.
+    Ranges are by the hash's first bits, so their number does not change the order.
     """
     names = list(dict.fromkeys((id_col, source_col, *carry)))
     cols = [f"k{i}" for i in range(len(names))]
@@ -88,7 +90,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rows = rows.select(*cols, word_count(F.col(text)).alias("size"), F.xxhash64(i).alias("h"), F.xxhash64(text).alias("th"))
     # A text key without nulls, so that the join below keeps the partitioning by it.
     rows = rows.withColumn("src", F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string"))))
-    rows = rows.withColumn("slot", F.pmod(F.shiftrightunsigned("h", 12), F.lit(slots)))
+    bits = max(LEAST_SLOTS, (docs.count() // slot_rows).bit_length())
+    rows = rows.withColumn("slot", F.shiftrightunsigned("h", 64 - bits))
     sums = cut(rows.groupBy("src", "slot").agg(F.sum("size").alias("sum")))
     by_source = Window.partitionBy("src")
     sums = sums.withColumn("before", F.sum("sum").over(by_source.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)))

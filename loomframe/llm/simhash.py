@@ -69,12 +69,16 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def trie_links(keys: np.ndarray, group: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(keys: np.ndarray, group: np.ndarray, top: int, budget: int, parent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of keys of the same group that differ in at most ``budget`` bits.
 
     ``keys`` are distinct within a group and sorted within it; keys of a group
     agree in their ``top`` first bits; groups are runs. A node is a range of the
     sorted keys, so its children are found by counting ones.
+
+    With ``parent``, the component of each key as far as the caller knows it, pairs
+    whose keys are all in one component already are not looked at: a dense group
+    then costs about as much as it has keys, not as it has pairs.
     """
     edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if len(group) else 0))
     lo, hi = edges, np.append(edges[1:], len(keys))
@@ -91,6 +95,12 @@ def trie_links(keys: np.ndarray, group: np.ndarray, top: int, budget: int) -> It
                 s = slice(at, at + PAIRS)
                 stack.append((bit, alo[s], ahi[s], blo[s], bhi[s], diff[s]))
             continue
+        if parent is not None and len(alo) >= 256:
+            changes = np.concatenate(([0], np.cumsum(parent[1:] != parent[:-1])))
+            known = (changes[alo] == changes[ahi - 1]) & (changes[blo] == changes[bhi - 1]) & (parent[alo] == parent[blo])
+            alo, ahi, blo, bhi, diff = (x[~known] for x in (alo, ahi, blo, bhi, diff))
+            if not len(alo):
+                continue
         small = (ahi - alo) * (bhi - blo) <= SMALL
         if bit < 0:
             small[:] = True
@@ -158,8 +168,8 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
             order = np.lexsort((k, b))
             k, b = k[order], b[order]
             parent = np.arange(len(k))
-            for i, j in trie_links(k, b, bits_of[int(start)], budget):
-                parent = roots_of(len(k), i, j, parent)
+            for i, j in trie_links(k, b, bits_of[int(start)], budget, parent):
+                roots_of(len(k), i, j, parent)
             child = np.flatnonzero(parent != np.arange(len(k)))
             s = int(start)
             back = k if s == 0 else (k >> np.uint64(s)) | (k << np.uint64(64 - s))

@@ -25,6 +25,8 @@ def test_stages(spark, sf_dir):
     words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
     assert abs(words(seen[3][2]) - words(seen[3][1])) < 0.2 * words(seen[3][1])
     assert seen[4][2].count() == seen[3][2].count()
+    whole = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, seen[4][2].collect()))
 
 
 def test_odd_rows(spark, odd, sf_dir):
