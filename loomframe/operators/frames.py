@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import native
 from ..kernel import columnar, transform, wire
 from ..kernel.reader import Frame, walk
 from ..kernel.wire import FrameError, Limits
@@ -125,6 +126,32 @@ def layout_for(df: DataFrame, on_null: str = "presence", defaults: dict | None =
     return layout_of(df.schema, presence=on_null == "presence", defaults=defaults)
 
 
+def decode_segments(df: DataFrame, layout: Struct, segments_col: str = "segments", **options) -> DataFrame:
+    """Like ``decode`` for messages that come as arrays of word-aligned segments."""
+    keep = options.get("keep") or []
+    return decode(df.select(*[F.col(f"`{c}`") for c in keep], native.frame_segments(segments_col).alias("_frame")), layout, "_frame", **options)
+
+
+def float_bits(c: Column | str) -> Column:
+    """The bits of a double as a long."""
+
+    @F.arrow_udf(T.LongType())
+    def run(x: pa.Array) -> pa.Array:
+        return pa.Array.from_buffers(pa.int64(), len(x), x.buffers(), x.null_count, x.offset)
+
+    return run(c)
+
+
+def bits_float(c: Column | str) -> Column:
+    """The double with the given bits."""
+
+    @F.arrow_udf(T.DoubleType())
+    def run(x: pa.Array) -> pa.Array:
+        return pa.Array.from_buffers(pa.float64(), len(x), x.buffers(), x.null_count, x.offset)
+
+    return run(c)
+
+
 # Binary to binary, as columns.
 
 

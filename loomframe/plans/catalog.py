@@ -342,6 +342,35 @@ def frame_segments_native(spark, sf_dir):
     return fr.decode(parts.select(native.frame_segments("segments").alias("frame")), s)
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def decode_attached_segments(spark, sf_dir):
+    """Messages that come as arrays of segments."""
+    df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    s = fr.layout_for(df)
+    parts = fr.encode(df, s).select(fr.resegment(F.col("frame"), 2).alias("frame")).select(native.split_segments("frame").alias("segments"))
+    return fr.decode_segments(parts, s)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice AS price, l_tax < 0 AS negative FROM lineitem")
+def float_bits_roundtrip(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("bits", fr.float_bits("l_extendedprice")).withColumn("sign", fr.float_bits("l_tax"))
+    return df.select("l_orderkey", "l_linenumber", fr.bits_float("bits").alias("price"), (F.col("sign") < 0).alias("negative"))
+
+
+@query("SELECT n_nationkey, to_json({'n_name': n_name, 'n_regionkey': n_regionkey}) AS dump FROM nation")
+def json_dump(spark, sf_dir):
+    df = table(spark, sf_dir, "nation")
+    s = fr.layout_for(df)
+    rows = fr.decode(fr.encode(df, s), s)
+    return rows.select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("dump"))
+
+
+@query("SELECT p_partkey AS k, CAST(0 AS SMALLINT) AS x FROM part")
+def evolve_cross_width_is_default(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.array(F.col("p_size").cast("long")).alias("xs"))
+    return fr.decode(fr.encode(df, _list_layout(UINT32)), _list_layout(UINT8)).select("k", F.explode("xs").alias("x"))
+
+
 # Limits and errors.
 
 
