@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import native
-from ..kernel import columnar, transform, wire
+from ..kernel import columnar, packing, transform, wire
 from ..kernel.reader import Frame, walk
 from ..kernel.wire import FrameError, Limits
 from ..layout import Struct, layout_of
@@ -70,7 +70,9 @@ def decode(
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         frames = batch.column(len(keep))
         early: dict[int, FrameError] = {}
-        if packed or raw:
+        if packed and mode == "FAILFAST":
+            frames = packing.unpack(frames, limits.words)
+        elif packed or raw:
             frames, early = _each(frames, (lambda x: transform.unpack(x, limits.words)) if packed else lambda x: wire.frame_of([x]), mode)
         value, errors = columnar.decode(frames, s, limits, mode)
         if fill_null:
@@ -114,7 +116,7 @@ def encode(df: DataFrame, layout: Struct | None = None, frame_col: str = "frame"
         value = pa.StructArray.from_arrays(cols, used) if cols else pa.array([{}] * batch.num_rows, pa.struct([]))
         frames = columnar.encode(value, s)
         if pack:
-            frames = pa.array([transform.pack(x) for x in frames.to_pylist()], pa.binary())
+            frames = packing.pack(frames)
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), frames], [*keep, frame_col])
 
     return _map(source, f, schema)
@@ -178,12 +180,22 @@ def _bytes_udf(f: Callable, mode: str) -> Callable[..., Column]:
 
 def pack(c: Column | str) -> Column:
     """The packed form of a binary column; its length must be a multiple of 8."""
-    return _bytes_udf(transform.pack, "FAILFAST")(c)
+
+    @F.arrow_udf(T.BinaryType())
+    def run(x: pa.Array) -> pa.Array:
+        return packing.pack(x)
+
+    return run(c)
 
 
 def unpack(c: Column | str, max_words: int = transform.UNPACK_WORDS, mode: str = "FAILFAST") -> Column:
     """The inverse of ``pack``; with another mode than FAILFAST what is refused becomes null."""
-    return _bytes_udf(lambda x: transform.unpack(x, max_words), mode)(c)
+
+    @F.arrow_udf(T.BinaryType())
+    def run(x: pa.Array) -> pa.Array:
+        return packing.unpack(x, max_words, mode)
+
+    return run(c)
 
 
 def canonicalize(c: Column | str, limits: Limits = Limits(), mode: str = "FAILFAST", mask_padding: bool = False) -> Column:

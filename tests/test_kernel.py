@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomframe import schemas
-from loomframe.kernel import columnar, rows, transform, wire
+from loomframe.kernel import columnar, packing, rows, transform, wire
 from loomframe.kernel.builder import Builder
 from loomframe.kernel.reader import Frame, walk
 from loomframe.kernel.wire import FrameError, Limits, Pointer
@@ -101,6 +101,27 @@ def test_pack_inverse(parts):
     assert transform.unpack(transform.pack(raw)) == raw
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"\0" * 8, b"\1" * 8, b"\1" * 7 + b"\0", b"\1" * 6 + b"\0\0", b"\0\0\5\0\0\0\0\1", b"\2" * 2400, b"\0" * 2400, b"\2" * 2047 + b"\0"]), max_size=40), max_size=12))
+def test_columns_pack_as_frames_do(frames):
+    raw = [b"".join(x) if len(x) != 3 else None for x in frames]
+    column = pa.array([b"junk", *raw], pa.binary())[1:]  # a slice
+    packed = packing.pack(column)
+    assert packed.to_pylist() == [None if x is None else transform.pack(x) for x in raw]
+    for long in (0, 64, 1 << 20):
+        packing.LONG = long
+        assert packing.unpack(packed).to_pylist() == raw
+    cut = pa.array([x[:-1] if x else x for x in packed.to_pylist()], pa.binary())
+
+    def plain(x):
+        try:
+            return None if x is None else transform.unpack(x, 100)
+        except FrameError:
+            return None
+
+    assert packing.unpack(cut, 100, "PERMISSIVE").to_pylist() == [plain(x) for x in cut.to_pylist()]
+
+
 def test_list_evolution():
     r = frame(S(0, 0, 1), L(0, 4, 2), 100 | 200 << 32).root().pointer(0)
     assert r.element_struct(1).number(0, "uint32") == 200 and r.element_struct(1).number(0, "uint64", 5) == 5 and r.element_struct(0).number(0, "uint16") == 100
