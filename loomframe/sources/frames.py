@@ -19,7 +19,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..kernel.wire import FrameError
@@ -60,15 +60,28 @@ class _Part(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+class _Every:
+    """The set of all paths."""
+
+    def __contains__(self, path: str) -> bool:
+        return True
+
+    def __and__(self, other: set[str]) -> set[str]:
+        return other
+
+
 class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.max_segments = int(options.get("maxSegments", 512))
+        self.only: set[str] | _Every = _Every()
         self.split = int(options.get("splitBytes", 0)) if options.get("indexed", "false") == "true" else 0
 
     def partitions(self) -> list[_Part]:
         out = []
         for path in _files(self.path):
+            if path not in self.only:
+                continue
             if not self.split or os.path.getsize(path) <= self.split:
                 out.append(_Part(path, 0, None))
                 continue
@@ -91,6 +104,20 @@ class FrameReader(DataSourceReader):
                 yield part.path, at, total, f.read(total)
 
 
+class FilteringFrameReader(FrameReader):
+    """With option ``pushFilters``; it needs spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality on ``path`` picks the files ; the rest is Spark's."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.only &= {f.value}
+            elif isinstance(f, In) and f.attribute == ("path",):
+                self.only &= set(f.value)
+            else:
+                yield f
+
+
 class _Done(WriterCommitMessage):
     def __init__(self, path: str):
         self.path = path
@@ -141,39 +168,48 @@ class FrameStreamWriter(DataSourceStreamWriter):
         self.inner.abort(messages)
 
 
-class FrameStreamReader(SimpleDataSourceStreamReader):
-    """Each file is a connection; a batch takes what whole frames have been appended since the last one."""
+class _StreamPart(InputPartition):
+    def __init__(self, path: str, start: int, end: int, seq: int):
+        self.path, self.start, self.end, self.seq = path, start, end, seq
+
+
+class FrameStreamReader(DataSourceStreamReader):
+    """Each file is a connection; a batch takes what whole frames have been appended since the last one.
+
+    The driver only walks the segment tables to find where frames end; executors
+    read the frames, one task for each file of a batch.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.max_segments = int(options.get("maxSegments", 64))
-        self.most = int(options.get("maxFramesPerFile", 100_000))
+        self.known: dict[str, list[int]] = {}  # file -> end of its last whole frame, frames before it
 
     def initialOffset(self) -> dict:
         return {}
 
-    def _from(self, start: dict, limit: dict | None) -> tuple[list[tuple], dict]:
-        rows, end = [], dict(start)
+    def latestOffset(self) -> dict:
         for path in _files(self.path):
-            at, seq = start.get(path, [0, 0])
-            stop = None if limit is None else limit.get(path, [at, seq])[0]
+            at, seq = self.known.get(path, (0, 0))
             with open(path, "rb") as f:
-                taken = 0
-                for pos, total in lengths(f, at, stop, self.max_segments):
-                    if stop is None and taken >= self.most or stop is not None and pos >= stop:
-                        break
-                    f.seek(pos)
-                    rows.append((path, seq, f.read(total)))
-                    at, seq, taken = pos + total, seq + 1, taken + 1
-            end[path] = [at, seq]
-        return rows, end
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._from(start, None)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._from(start, end)[0])
+                for pos, total in lengths(f, at, None, self.max_segments):
+                    at, seq = pos + total, seq + 1
+            self.known[path] = [at, seq]
+        return {k: list(v) for k, v in self.known.items()}
+
+    def partitions(self, start: dict, end: dict) -> list[_StreamPart]:
+        out = []
+        for path, (stop, _) in sorted(end.items()):
+            at, seq = start.get(path, (0, 0))
+            if at < stop:
+                out.append(_StreamPart(path, at, stop, seq))
+        return out
+
+    def read(self, part: _StreamPart) -> Iterator[tuple]:
+        with open(part.path, "rb") as f:
+            for n, (at, total) in enumerate(lengths(f, part.start, part.end, self.max_segments)):
+                f.seek(at)
+                yield part.path, part.seq + n, f.read(total)
 
     def commit(self, end: dict) -> None:
         pass
@@ -188,7 +224,7 @@ class FrameSource(DataSource):
         return STREAM_SCHEMA if self.options.get("stream", "false") == "true" else SCHEMA
 
     def reader(self, schema: StructType) -> FrameReader:
-        return FrameReader(self.options)
+        return (FilteringFrameReader if self.options.get("pushFilters", "false") == "true" else FrameReader)(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> FrameWriter:
         return FrameWriter(self.options, overwrite)
@@ -196,5 +232,5 @@ class FrameSource(DataSource):
     def streamWriter(self, schema: StructType, overwrite: bool) -> FrameStreamWriter:
         return FrameStreamWriter(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> FrameStreamReader:
+    def streamReader(self, schema: StructType) -> FrameStreamReader:
         return FrameStreamReader(self.options)

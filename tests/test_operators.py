@@ -112,6 +112,12 @@ def test_source_round_trip(spark, sf_dir, tmp_path):
     split = spark.read.format("frames").option("indexed", "true").option("splitBytes", "2000").load(path)
     assert split.rdd.getNumPartitions() > 6
     assert sorted(fr.decode(split, s).distinct().collect()) == sorted(df.collect())
+    one = read.select("path").first()[0]
+    want = read.where(F.col("path") == one).count()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    some = spark.read.format("frames").option("pushFilters", "true").load(path).where(F.col("path") == one)
+    assert some.count() == want and some.rdd.getNumPartitions() == 1
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     whole = spark.read.format("binaryFile").load(path + "/*.frames").select("content")
     assert fr.split_frames(whole).count() == 2 * df.count()
 
@@ -125,6 +131,17 @@ def test_source_stream(spark, sf_dir, tmp_path):
     stream = spark.readStream.format("frames").option("stream", "true").load(inp)
     stream.select("frame").writeStream.format("frames").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start().awaitTermination()
     assert sorted(fr.decode(spark.read.format("frames").load(out), s).collect()) == sorted(df.collect())
+    # A second file, half a frame at first, and the rest of it: only whole frames come, once each.
+    frame = bytes(fr.encode(df, s).first()[0])
+    more = tmp_path / "in" / "more.frames"
+    shown = stream.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "cp2"))
+    for part in (frame + frame[:9], frame[9:] + frame):
+        with open(more, "ab") as f:
+            f.write(part)
+        shown.trigger(once=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    late = rows.where(F.col("conn_id").endswith("more.frames")).orderBy("seq").collect()
+    assert [(r.seq, bytes(r.frame)) for r in late] == [(0, frame), (1, frame), (2, frame)] and rows.count() == 28
 
 
 def test_error_travels():
