@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, release, table
+from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, release, roots_of, table
 
 SIMILARITY = 0.8
 BITS, BLOCKS = 3, 4
@@ -32,6 +32,8 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Candidate pairs that are looked at together.
 PAIRS = 1 << 19
+#: Keys of a run from which it is gone through key by key.
+LONG_RUN = 512
 _M64 = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _VALUE = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, np.uint64)
@@ -153,11 +155,14 @@ def _distance(a: str, b: str, most: int) -> int:
     return d
 
 
-def close_pairs(keys: np.ndarray, group: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(keys: np.ndarray, group: np.ndarray, block: int, parent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one group whose SimHashes differ in at most ``BITS`` bits and that share no earlier block.
 
     Keys of a group agree in ``block``. Each pair comes once, in the first
     sub-block that it shares. Sub-blocks are 12 bits of the other three blocks.
+    With ``parent``, the component of each key, which the caller keeps up to date,
+    long runs are gone through key by key and pairs of one component left out, so
+    that a dense run costs about as much as it has keys.
     """
     width = 64 // BLOCKS
     shift = np.uint64(width * (BLOCKS - 1 - block))
@@ -167,12 +172,33 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int) -> Iterator[tup
     high = np.uint64(0) if block == 0 else keys >> (shift + np.uint64(width))
     others = (high << shift) | low if block else low
     subs = [(others >> np.uint64(12 * s)) & np.uint64(0xFFF) for s in range(4)]
+
+    def close(i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
+        x = keys[i] ^ keys[j]
+        ok = np.bitwise_count(x) <= BITS
+        for b in range(block):
+            ok &= (x >> np.uint64(width * (BLOCKS - 1 - b))) & rest != 0
+        for t in range(s):
+            ok &= subs[t][i] != subs[t][j]
+        return ok
+
     for s in range(4):
         order = np.lexsort((subs[s], group))
         g, k = group[order], subs[s][order]
         edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]))))
         size = np.diff(np.append(edges, len(g)))
-        many = size > 1
+        long = (size > LONG_RUN) & (parent is not None)
+        for lo, n in zip(edges[long].tolist(), size[long].tolist()):
+            run = order[lo : lo + n]
+            for p in range(n - 1):
+                own = parent[run]
+                j = run[p + 1 :][own[p + 1 :] != own[p]]
+                if not len(j) and (own == own[0]).all():
+                    break
+                i = np.broadcast_to(run[p], len(j))
+                if (ok := close(i, j, s)).any():
+                    yield i[ok], j[ok]
+        many = (size > 1) & ~long
         lo, size = edges[many], size[many]
         # Each member of a run with those after it.
         first = np.repeat(lo, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
@@ -187,13 +213,7 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int) -> Iterator[tup
             i = np.repeat(first[at:upto], n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             i, j = order[i], order[j]
-            x = keys[i] ^ keys[j]
-            ok = np.bitwise_count(x) <= BITS
-            for b in range(block):
-                ok &= (x >> np.uint64(width * (BLOCKS - 1 - b))) & rest != 0
-            for t in range(s):
-                ok &= subs[t][i] != subs[t][j]
-            if ok.any():
+            if (ok := close(i, j, s)).any():
                 yield i[ok], j[ok]
             at = upto
 
@@ -234,9 +254,11 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
         for b in range(BLOCKS):
             at = np.flatnonzero(place >> _WIDTH == b)
             hit = np.zeros(len(at), bool)
-            for i, j in close_pairs(sim[at], place[at], b):
+            parent = np.arange(len(at))
+            for i, j in close_pairs(sim[at], place[at], b, parent):
                 hit[i] = True
                 hit[j] = True
+                roots_of(len(at), i, j, parent)
             out_sim.append(sim[at[hit]])
             out_block.append(np.full(int(hit.sum()), b, np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_sim).view(np.int64)), pa.array(np.concatenate(out_block))], ["sim", "block"])
@@ -256,35 +278,25 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         place, sim = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
         words = batch.column(3)
-        parent = list(range(batch.num_rows))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
         edges: list[tuple[int, int]] = []
         text: dict[int, str] = {}
         for b in range(BLOCKS):
             at = np.flatnonzero(place >> _WIDTH == b)
-            for i, j in close_pairs(sim[at], place[at], b):
-                for s in range(0, len(i), 1 << 14):
-                    p, q = at[i[s : s + (1 << 14)]], at[j[s : s + (1 << 14)]]
-                    if len(i) > 4096:  # drop what is connected already
-                        seen = np.unique(np.concatenate((p, q)))
-                        roots = np.fromiter(map(root, seen.tolist()), np.int64, len(seen))
-                        open_ = roots[np.searchsorted(seen, p)] != roots[np.searchsorted(seen, q)]
-                        p, q = p[open_], q[open_]
-                    for x, y in zip(p.tolist(), q.tolist()):
-                        rx, ry = root(x), root(y)
-                        if rx == ry:
+            parent = np.arange(len(at))
+            for i, j in close_pairs(sim[at], place[at], b, parent):
+                for p in range(0, len(i), 4096):
+                    x, y = i[p : p + 4096], j[p : p + 4096]
+                    apart = parent[x] != parent[y]
+                    for k, m in zip(x[apart].tolist(), y[apart].tolist()):
+                        if parent[k] == parent[m]:
                             continue
-                        for z in (x, y):
+                        for z in (int(at[k]), int(at[m])):
                             if z not in text:
                                 text[z] = normalise(words[z].as_py()).decode("utf-8", "replace")
-                        if edit_similarity(text[x], text[y], least) >= least:
-                            parent[max(rx, ry)] = min(rx, ry)
-                            edges.append((x, y))
+                        if edit_similarity(text[int(at[k])], text[int(at[m])], least) >= least:
+                            lo, hi = sorted((parent[k], parent[m]))
+                            parent[parent == hi] = lo
+                            edges.append((int(at[k]), int(at[m])))
         ids = batch.column(2)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array([e[k] for e in edges], pa.int64())) for k in (0, 1)], ["src", "dst"])
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from loomframe.llm import linededup
+from loomframe.llm.common import roots_of
 
 
 def lev(a, b):
@@ -78,6 +79,22 @@ def test_close_pairs_are_all_pairs_once():
     assert len(got) == len(want) and set(got) == want
 
 
+def test_dense_runs_give_the_same_components():
+    rng = np.random.default_rng(4)
+    keys = np.full(3000, np.uint64(0x1234_5678_9ABC_DEF0))
+    for _ in range(3):
+        keys = keys ^ (np.uint64(1) << rng.integers(0, 30, 3000, np.uint64))
+    keys = np.concatenate((np.unique(keys), rng.integers(0, 2**30, 2000, np.uint64) | np.uint64(0x1234 << 48)))
+    group = np.zeros(len(keys), np.int64)
+    found = [np.arange(len(keys)), np.arange(len(keys))]
+    pairs = [0, 0]
+    for way in (0, 1):
+        for i, j in linededup.close_pairs(keys, group, 0, found[1] if way else None):
+            roots_of(len(keys), i, j, found[way])
+            pairs[way] += len(i)
+    assert (found[0] == found[1]).all() and pairs[1] < pairs[0]
+
+
 def test_simhash():
     h = np.random.default_rng(0).integers(0, 2**63, 3000, np.uint64) * np.uint64(2) + np.uint64(1)
     lo, hi = np.array([0, 10, 300, 1500]), np.array([5, 300, 1400, 3000])
