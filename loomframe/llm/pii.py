@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # Candidate segments and their features.
 
 _TOKEN = re.compile(r"[^\W_]+|\s|[^\w\s]|_")
-_ANCHOR = re.compile(r"[0-9@]|[\[(](?i:at)[\])]")
+_ANCHOR = re.compile(r"[0-9@]+|[\[(](?i:at)[\])]")
 _AT = r"(?:@|\s?[\[(](?i:at)[\])]\s?)"
 _DOT = r"(?:\.|\s?[\[(](?i:dot)[\])]\s?)"
 _MAIL = re.compile(rf"[\w.%+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
@@ -296,30 +296,38 @@ def train(sentences: int = 400, rounds: int = 40, seed: int = 11) -> np.ndarray:
 
 
 def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Stretches around anchors, without the base spans; no candidate crosses their ends."""
+    """Stretches around anchors, without the base spans (in order); no candidate crosses their ends.
+
+    They reach as far as a candidate with the anchor can, and on to the next white
+    space if that is near.
+    """
     out: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            a = out[-1][0]
+            out.pop()
         else:
-            out.append([a, b])
-    free = []
-    for a, b in out:
-        while a > 0 and not text[a - 1].isspace() and not text[a].isspace():
-            a -= 1
-            if out[0][0] - a > 4 * REACH and a % 64 == 0:
-                break
-        while b < len(text) and not text[b].isspace() and not text[b - 1].isspace() and b < len(text):
+            low = max(0, a - REACH)
+            while a > low and not text[a - 1].isspace():
+                a -= 1
+        high = min(len(text), b + REACH)
+        while b < high and not text[b].isspace():
             b += 1
-            if b % (4 * REACH) == 0:
-                break
-        for x, _, y in base:
-            if y <= a or x >= b:
-                continue
-            if x > a:
-                free.append((a, x))
-            a = max(a, y)
+        if out and a <= out[-1][1]:
+            a = out[-1][0]
+            out.pop()
+        out.append([a, b])
+    free, k = [], 0
+    for a, b in out:
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        i = k
+        while i < len(base) and base[i][0] < b:
+            if base[i][0] > a:
+                free.append((a, base[i][0]))
+            a = max(a, base[i][2])
+            i += 1
         if a < b:
             free.append((a, b))
     return free
