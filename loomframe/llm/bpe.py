@@ -58,19 +58,21 @@ class TreeCodec:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text."""
         leaves: list[str] = []
-        plans = [self._plan(x, leaves) for x in texts]
-        encoded = self.tok.encode_batch(leaves, add_special_tokens=False)
-        return [encoded[p].ids if isinstance(p, int) else self._whole(p, encoded) for p in plans]
+        short: list[str] = []
+        plans = [self._plan(x, leaves, short) for x in texts]
+        # Texts of one leaf need no word numbers, which only joins look at.
+        encoded, plain = self.tok.encode_batch(leaves, add_special_tokens=False), self.tok.encode_batch_fast(short, add_special_tokens=False)
+        return [plain[p].ids if isinstance(p, int) else self._whole(p, encoded) for p in plans]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become U+FFFD, as in the library."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def _plan(self, text: str, leaves: list[str]):
-        """The number of the only leaf, or a list of (bytes, tree) with an id for an added token."""
+    def _plan(self, text: str, leaves: list[str], short: list[str]):
+        """The number of a text of one leaf, or a list of (bytes, tree) with an id for an added token."""
         if len(text) * 4 <= self.leaf or len(text) <= self.leaf and len(text.encode()) <= self.leaf:
-            leaves.append(text)
-            return len(leaves) - 1
+            short.append(text)
+            return len(short) - 1
         parts: list = [text]
         for content, i in self.added.items():
             parts = [y for x in parts for y in (_between(x.split(content), i) if isinstance(x, str) else [x])]
