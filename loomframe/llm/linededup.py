@@ -114,6 +114,21 @@ def simhashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.packbits(bits.transpose(0, 2, 1).reshape(len(lo), 64), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether the edit similarity is ``least`` or more.
+
+    For as many words on both sides, the words that differ in their place bound the
+    distance from above; only where that does not decide it is computed.
+    """
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
+        return True
+    return edit_similarity(a, b, least) >= least
+
+
 def edit_similarity(a: str, b: str, least: float = SIMILARITY) -> float:
     """1 - distance / longer length; 0.0 as soon as it must be under ``least``."""
     longer = max(len(a), len(b))
@@ -293,7 +308,7 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
                         for z in (int(at[k]), int(at[m])):
                             if z not in text:
                                 text[z] = normalise(words[z].as_py()).decode("utf-8", "replace")
-                        if edit_similarity(text[int(at[k])], text[int(at[m])], least) >= least:
+                        if similar(text[int(at[k])], text[int(at[m])], least):
                             lo, hi = sorted((parent[k], parent[m]))
                             parent[parent == hi] = lo
                             edges.append((int(at[k]), int(at[m])))

@@ -58,6 +58,7 @@ def test_edit_similarity():
         b = "".join(b)
         s = 1 - lev(a, b) / max(len(a), len(b), 1)
         assert abs(linededup.edit_similarity(a, b) - (s if s >= 0.8 else 0.0)) < 1e-9
+        assert linededup.similar(a, b) == (s >= 0.8 - 1e-12)
 
 
 def test_close_pairs_are_all_pairs_once():
