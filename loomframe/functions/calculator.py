@@ -64,9 +64,10 @@ def eval_decoded(e: Column, depth: int) -> Column:
     step = lambda a, x: (
         F.when(op == "add", a + x).when(op == "subtract", a - x).when(op == "multiply", a * x).when((op == "divide") & (x != 0), F.try_divide(a, x))
     )
-    fold = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), step)
-    known = op.isin(*schemas.OPERATIONS) & (F.size(values) > 0)
-    return F.when(e["which"] == "call", F.when(known, fold)).otherwise(out)
+    # A lambda's variable holds the parameters' values, so that they are worked out once.
+    fold = lambda v: F.when(F.size(v) > 0, F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.get(v, F.lit(0)), step))
+    value = F.get(F.transform(F.array(values), fold), F.lit(0))
+    return F.when(e["which"] == "call", F.when(op.isin(*schemas.OPERATIONS), value)).otherwise(out)
 
 
 def expression_of(op: str, *params: Column) -> Column:
