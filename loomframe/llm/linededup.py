@@ -3,11 +3,14 @@
 Lines are normalised (lower case; ASCII punctuation and white space only separate
 words). Equal ones are merged by a 128-bit
 hash; the rest get a 64-bit SimHash of their words. Two lines link if their
-SimHashes differ in at most 3 bits and their normalised texts have an edit
-similarity of 0.8 or more. Such SimHashes agree in one of four blocks of 16 bits,
-and outside it in one of four sub-blocks, so they meet on a block (the shuffle
-key) and a sub-block (within the task). Of each connected group the occurrence in
-the smallest document, then line, stays.
+SimHashes differ in at most 16 bits and their normalised texts have an edit
+similarity of 0.8 or more. The bits only spare edit distances; lines meet on
+shuffle keys of two kinds. Keys of their words: the line without one of its words
+(short lines), and the least of its three-word shingles under eight hash functions
+(longer ones). Blocks of the SimHash: those within 3 bits agree in one of four
+blocks of 16 bits, and outside it in one of four sub-blocks, which are told apart
+within the task. Of each connected group the occurrence in the smallest document,
+then line, stays.
 """
 
 from __future__ import annotations
@@ -23,7 +26,12 @@ from pyspark.sql import functions as F
 from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, release, roots_of, table
 
 SIMILARITY = 0.8
-BITS, BLOCKS = 3, 4
+#: Bits in which the SimHashes of linked lines may differ; from 17 on, lines with other words in most places would link.
+BITS = 16
+#: Bits within which blocks of the SimHash find every pair, and those blocks.
+BLOCK_BITS, BLOCKS = 3, 4
+#: Lines of up to so many words are met without one of their words; lines from so many words by the least of their shingles, under so many hash functions.
+HOLES, SHINGLES_FROM, TABLES = 10, 7, 8
 #: Lines with fewer words are never removed.
 MIN_WORDS = 5
 #: Bytes that make up words: ASCII letters and digits, and all of non-ASCII characters.
@@ -36,6 +44,7 @@ PAIRS = 1 << 19
 LONG_RUN = 512
 _M64 = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_TABLE = np.random.default_rng(20_240_603).integers(1, 1 << 63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -72,8 +81,37 @@ def _spans(values: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.nd
     return _mix((prefix[b] - prefix[a]) * _power(pow(base, -1, 1 << 64), n + 1)[a])
 
 
-def scan(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash."""
+def word_keys(word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit keys of each of the ranges of word hashes, one after the other, and how many each has."""
+    n = hi - lo
+    which, keys = [], []
+    if len(short := np.flatnonzero(n <= HOLES)):
+        base = _BASES[1]
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * _power(base, len(word)), dtype=np.uint64)))
+        back, step = _power(pow(base, -1, 1 << 64), len(word) + 2), _power(base, HOLES + 1)
+        # Each word left out, then none: what is left is hashed as if it stood together.
+        k = np.repeat(short, n[short] + 1)
+        at = np.arange(len(k)) - np.repeat(np.cumsum(n[short] + 1) - n[short] - 1, n[short] + 1)
+        mid = lo[k] + at
+        after = np.minimum(mid + 1, hi[k])
+        rest = (prefix[hi[k]] - prefix[after]) * back[after] * step[at]
+        which.append(k)
+        keys.append(_mix((prefix[mid] - prefix[lo[k]]) * back[lo[k]] + rest))
+    if len(long := np.flatnonzero(n >= SHINGLES_FROM)):
+        a, b, c = (np.uint64(x) for x in _BASES)
+        shingle = np.append(_mix(word[:-2] * a + word[1:-1] * b + word[2:] * c), np.uint64(0))
+        edges = np.column_stack((lo[long], hi[long] - 2)).ravel()
+        for t, factor in enumerate(_TABLE):
+            which.append(long)
+            keys.append(_mix(np.minimum.reduceat(shingle * factor, edges)[::2] + np.uint64(t)))
+    if not which:
+        return np.zeros(0, np.uint32), np.zeros(len(lo), np.int64)
+    at = np.concatenate(which)
+    return (np.concatenate(keys)[np.argsort(at, kind="stable")] >> np.uint64(32)).astype(np.uint32), np.bincount(at, minlength=len(lo))
+
+
+def scan(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash; its keys and their number."""
     raw = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     text_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
@@ -88,7 +126,7 @@ def scan(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarra
     word = _spans(_VALUE[data], _BASES[0], a, b)
     lo, hi = upto[good] - size[good], upto[good]
     ids = np.column_stack([_spans(word, base, lo, hi) for base in _BASES[1:]])
-    return text, good - first_line[text], ids, simhashes(word, lo, hi)
+    return text, good - first_line[text], ids, simhashes(word, lo, hi), *word_keys(word, lo, hi)
 
 
 def simhashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -170,34 +208,38 @@ def _distance(a: str, b: str, most: int) -> int:
     return d
 
 
-def close_pairs(keys: np.ndarray, group: np.ndarray, block: int, parent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one group whose SimHashes differ in at most ``BITS`` bits and that share no earlier block.
+def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one group whose SimHashes differ in at most ``BLOCK_BITS`` bits and that share no earlier block.
 
     Keys of a group agree in ``block``. Each pair comes once, in the first
     sub-block that it shares. Sub-blocks are 12 bits of the other three blocks.
+    Without a block, groups are those of a word key: all pairs within ``BITS`` bits.
     With ``parent``, the component of each key, which the caller keeps up to date,
     long runs are gone through key by key and pairs of one component left out, so
     that a dense run costs about as much as it has keys.
     """
     width = 64 // BLOCKS
-    shift = np.uint64(width * (BLOCKS - 1 - block))
     rest = np.uint64((1 << width) - 1)
-    # The other three blocks side by side: 48 bits.
-    low = keys & ((np.uint64(1) << shift) - np.uint64(1))
-    high = np.uint64(0) if block == 0 else keys >> (shift + np.uint64(width))
-    others = (high << shift) | low if block else low
-    subs = [(others >> np.uint64(12 * s)) & np.uint64(0xFFF) for s in range(4)]
+    if block is None:
+        subs = [np.zeros(len(keys), np.uint64)]
+    else:
+        shift = np.uint64(width * (BLOCKS - 1 - block))
+        # The other three blocks side by side: 48 bits.
+        low = keys & ((np.uint64(1) << shift) - np.uint64(1))
+        high = np.uint64(0) if block == 0 else keys >> (shift + np.uint64(width))
+        others = (high << shift) | low if block else low
+        subs = [(others >> np.uint64(12 * s)) & np.uint64(0xFFF) for s in range(4)]
 
     def close(i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
         x = keys[i] ^ keys[j]
-        ok = np.bitwise_count(x) <= BITS
-        for b in range(block):
+        ok = np.bitwise_count(x) <= (BITS if block is None else BLOCK_BITS)
+        for b in range(block or 0):
             ok &= (x >> np.uint64(width * (BLOCKS - 1 - b))) & rest != 0
         for t in range(s):
             ok &= subs[t][i] != subs[t][j]
         return ok
 
-    for s in range(4):
+    for s in range(len(subs)):
         order = np.lexsort((subs[s], group))
         g, k = group[order], subs[s][order]
         edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]))))
@@ -234,69 +276,76 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int, parent: np.ndar
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``doc_id, dkey, line, id, sim`` of each line with enough words; ``dkey`` is a hash of the text."""
+    """``doc_id, dkey, line, id, sim, keys`` of each line with enough words; ``dkey`` is a hash of the text, ``keys`` are those of its words."""
     source = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("dkey", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, line, ids, sim = scan(batch.column(1).to_pylist(), min_words)
+        text, line, ids, sim, word, many = scan(batch.column(1).to_pylist(), min_words)
         at = pa.array(text)
         offsets = pa.py_buffer((16 * np.arange(len(text) + 1, dtype=np.int32)).tobytes())
         keys = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), keys, pa.array(sim.view(np.int64))], ["doc_id", "dkey", "line", "id", "sim"])
+        ends = pa.py_buffer(np.concatenate(([0], np.cumsum(many))).astype(np.int32).tobytes())
+        words = pa.ListArray.from_buffers(pa.list_(pa.int32()), len(text), [None, ends], children=[pa.array(word.view(np.int32))])
+        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), keys, pa.array(sim.view(np.int64)), words]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "dkey", "line", "id", "sim", "keys"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint", 512)
+    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<int>", 512)
 
 
 _WIDTH = 64 // BLOCKS
 
 
-def _place(sim: Column, block: int | Column) -> Column:
-    """Number of the block and its value in one: the shuffle key."""
-    b = F.lit(block) if isinstance(block, int) else block
-    value = F.expr(f"shiftrightunsigned(sim, {64 - _WIDTH} - {_WIDTH} * block)") if not isinstance(block, int) else F.shiftrightunsigned(sim, 64 - _WIDTH * (block + 1))
-    return (b * (1 << _WIDTH) + value.bitwiseAND(F.lit((1 << _WIDTH) - 1))).cast("int")
+def _block_place(block: int) -> Column:
+    """Number of the block and its value in one."""
+    value = F.shiftrightunsigned("sim", 64 - _WIDTH * (block + 1)).bitwiseAND(F.lit((1 << _WIDTH) - 1))
+    return (F.lit(block << _WIDTH) + value).cast("long")
+
+
+def _places() -> Column:
+    """Shuffle keys of a line: its four blocks, and from 2^32 on its word keys."""
+    return F.concat(F.array(*[_block_place(b) for b in range(BLOCKS)]), F.transform("keys", lambda k: k.cast("long") + F.lit(3 << 31)))
+
+
+def _by_kind(place: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(block, rows) of each block; None for the rows of word keys."""
+    for b in range(BLOCKS):
+        yield b, np.flatnonzero(place >> _WIDTH == b)
+    yield None, np.flatnonzero(place >= 1 << 32)
 
 
 def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim)."""
-    sims = nodes.groupBy("sim").agg(F.count("*").alias("n"))
-    rows = sims.select("sim", F.explode(F.array(*[_place(F.col("sim"), b) for b in range(BLOCKS)])).alias("place"))
+    """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys)."""
+    rows = nodes.select("sim", F.explode(_places()).alias("place"))
 
     def partners(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sim, place = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        out_sim, out_block = [], []
-        for b in range(BLOCKS):
-            at = np.flatnonzero(place >> _WIDTH == b)
-            hit = np.zeros(len(at), bool)
+        hit = np.zeros(len(sim), bool)
+        for b, at in _by_kind(place):
             parent = np.arange(len(at))
             for i, j in close_pairs(sim[at], place[at], b, parent):
-                hit[i] = True
-                hit[j] = True
+                hit[at[i]] = True
+                hit[at[j]] = True
                 roots_of(len(at), i, j, parent)
-            out_sim.append(sim[at[hit]])
-            out_block.append(np.full(int(hit.sum()), b, np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_sim).view(np.int64)), pa.array(np.concatenate(out_block))], ["sim", "block"])
-
-    near = arrow_groups(rows, ["place"], partners, "sim bigint, block int")
-    wanted = cut(near.unionAll(sims.where("n > 1").select("sim", F.lit(0).alias("block"))).groupBy("sim").agg(F.collect_set("block").alias("blocks")))
-    candidates = nodes.join(wanted, "sim").select("id", "sim", "blocks", "first.*")
-    places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "blocks")).alias("want"))
+        yield pa.RecordBatch.from_arrays([pa.array(sim[hit].view(np.int64)), pa.array(place[hit])], ["sim", "place"])
+
+    near = arrow_groups(rows, ["place"], partners, "sim bigint, place bigint")
+    wanted = cut(near.groupBy("sim").agg(F.collect_set("place").alias("places")))
+    candidates = nodes.join(wanted, "sim").select("id", "sim", F.array_intersect("places", _places()).alias("places"), "first.*")
+    places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places")).alias("want"))
     source = own_columns(docs, id_col, text_col).toDF("d", "text").withColumn("k", F.xxhash64("text"))
     held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
     # The lines themselves are cut out in the JVM; only they go to Python.
     held = held.select(F.split("text", "\n").alias("lines"), "want")
-    found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["blocks"].alias("blocks"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
-    found = found.select("id", "sim", "words", F.explode("blocks").alias("block"))
-    found = found.select(_place(F.col("sim"), F.col("block")).alias("place"), "sim", "id", "words").dropDuplicates(["place", "id"])
+    found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["places"].alias("places"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
+    found = found.select(F.explode("places").alias("place"), "sim", "id", "words").dropDuplicates(["place", "id"])
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         place, sim = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
         words = batch.column(3)
         edges: list[tuple[int, int]] = []
         text: dict[int, str] = {}
-        for b in range(BLOCKS):
-            at = np.flatnonzero(place >> _WIDTH == b)
+        for b, at in _by_kind(place):
             parent = np.arange(len(at))
             for i, j in close_pairs(sim[at], place[at], b, parent):
                 for p in range(0, len(i), 4096):
@@ -321,7 +370,7 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
     lines = cut(lines_of(docs, id_col, text_col, min_words))
-    nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")))
+    nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.count("*").alias("n")))
     classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least)).withColumnRenamed("node", "id")
     release(docs.sparkSession)
     several = nodes.join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("root"))

@@ -119,6 +119,39 @@ def test_fuzzy_lines(docs):
     assert {d: r.removed for d, r in got.items() if r.removed} == brute(rows)
 
 
+def all_similar(lines):
+    """Index pairs with an edit similarity of 0.8 or more, by brute force; letter counts bound the distance from below."""
+    size = np.array([len(x) for x in lines])
+    count = np.array([np.bincount([ord(c) % 64 for c in x], minlength=64) for x in lines])
+    for i in range(len(lines)):
+        d = count[i + 1 :] - count[i]
+        far = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
+        for j in (i + 1 + np.flatnonzero(far <= 0.2 * np.maximum(size[i + 1 :], size[i]) + 1e-9)).tolist():
+            if linededup.edit_similarity(lines[i], lines[j]) >= 0.8:
+                yield i, j
+
+
+def test_recall_of_similar_lines(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    lines = sorted({w for t in texts for x in (t or "").split("\n") if len((w := linededup.normalise(x).decode()).split()) >= 5})
+    *_, sim, keys, many = linededup.scan(lines, 1)
+    own = [set(k.tolist()) for k in np.split(keys, np.cumsum(many)[:-1])]
+    pairs = list(all_similar(lines))
+    found = [bool(own[i] & own[j]) and np.bitwise_count(sim[i] ^ sim[j]) <= linededup.BITS for i, j in pairs]
+    assert len(pairs) > 20 and sum(found) >= 0.98 * len(pairs)
+
+
+def test_lines_with_one_changed_character_link(docs):
+    rng = random.Random(8)
+    rows = []
+    for n in range(5, 40):
+        words = ["".join(rng.choice("abcdefghijklmnopqrs") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+        k = rng.randrange(n)
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:k], words[k][:-1] + "z", *words[k + 1 :]]))]
+    removed = {r.doc_id for r in linededup.dedup_lines(docs(rows)).collect() if r.removed}
+    assert removed <= {2 * n + 1 for n in range(5, 40)} and len(removed) >= 34
+
+
 def test_odd_rows(odd, clash):
     rows = linededup.dedup_lines(odd).collect()
     assert len(rows) == 11 and sum(r.n_lines for r in rows) == 1 * 8 + 3 and all(r.removed is None for r in rows)
