@@ -14,6 +14,8 @@ from loomframe.llm import bpe, linededup, mixing, quality, simhash
 from loomframe.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Repeats of short lines go from so many characters on.
+EXACT_CHARS = 8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those that lose all their lines go, ``n_chars`` is counted anew."""
-    rows = linededup.dedup_lines(docs.select(*COLUMNS))
+    rows = linededup.dedup_lines(docs.select(*COLUMNS), exact_chars=EXACT_CHARS)
     rows = rows.where(F.coalesce(F.size("removed"), F.lit(-1)) != F.col("n_lines"))
     rows = rows.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
     return rows.select(*COLUMNS)

@@ -32,8 +32,10 @@ BITS = 16
 BLOCK_BITS, BLOCKS = 3, 4
 #: Lines of up to so many words are met without one of their words; lines from so many words by the least of their shingles, under so many hash functions.
 HOLES, SHINGLES_FROM, TABLES = 10, 7, 8
-#: Lines with fewer words are never removed.
+#: Lines with fewer words link only if they are equal.
 MIN_WORDS = 5
+#: Of those, lines with fewer characters (normalised) are never removed.
+EXACT_CHARS = 32
 #: Bytes that make up words: ASCII letters and digits, and all of non-ASCII characters.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, bool)
@@ -110,8 +112,11 @@ def word_keys(word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return (np.concatenate(keys)[np.argsort(at, kind="stable")] >> np.uint64(32)).astype(np.uint32), np.bincount(at, minlength=len(lo))
 
 
-def scan(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash; its keys and their number."""
+def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash; its keys and their number.
+
+    With ``exact_chars``, lines with fewer words but so many characters come without keys.
+    """
     raw = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     text_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
@@ -120,13 +125,22 @@ def scan(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarra
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     upto = np.searchsorted(a, ends)  # words before the end of each line
     size = np.diff(upto, prepend=0)
-    good = np.flatnonzero(size >= max(1, min_words))
+    keyed = size >= max(1, min_words)
+    good = keyed
+    if exact_chars is not None:
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        upto_chars = np.concatenate(([0], np.cumsum(chars[b] - chars[a])))
+        good = keyed | (size > 0) & (upto_chars[upto] - upto_chars[upto - size] + size - 1 >= exact_chars)
+    good = np.flatnonzero(good)
+    keyed = keyed[good]
     text = np.searchsorted(text_end, ends[good], "right")
     first_line = np.concatenate(([0], np.searchsorted(ends, text_end)))
     word = _spans(_VALUE[data], _BASES[0], a, b)
     lo, hi = upto[good] - size[good], upto[good]
     ids = np.column_stack([_spans(word, base, lo, hi) for base in _BASES[1:]])
-    return text, good - first_line[text], ids, simhashes(word, lo, hi), *word_keys(word, lo, hi)
+    many = np.zeros(len(good), np.int64)
+    keys, many[keyed] = word_keys(word, lo[keyed], hi[keyed])
+    return text, good - first_line[text], ids, simhashes(word, lo, hi), keys, many
 
 
 def simhashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -275,12 +289,12 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent:
             at = upto
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``doc_id, dkey, line, id, sim, keys`` of each line with enough words; ``dkey`` is a hash of the text, ``keys`` are those of its words."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_chars: int) -> DataFrame:
+    """``doc_id, dkey, line, id, sim, keys`` of each line with enough words or characters; ``dkey`` is a hash of the text, ``keys`` are those of its words."""
     source = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("dkey", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, line, ids, sim, word, many = scan(batch.column(1).to_pylist(), min_words)
+        text, line, ids, sim, word, many = scan(batch.column(1).to_pylist(), min_words, exact_chars)
         at = pa.array(text)
         offsets = pa.py_buffer((16 * np.arange(len(text) + 1, dtype=np.int32)).tobytes())
         keys = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
@@ -316,7 +330,7 @@ def _by_kind(place: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
 
 def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
     """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys)."""
-    rows = nodes.select("sim", F.explode(_places()).alias("place"))
+    rows = nodes.where("size(keys) > 0").select("sim", F.explode(_places()).alias("place"))
 
     def partners(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sim, place = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
@@ -331,7 +345,7 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
 
     near = arrow_groups(rows, ["place"], partners, "sim bigint, place bigint")
     wanted = cut(near.groupBy("sim").agg(F.collect_set("place").alias("places")))
-    candidates = nodes.join(wanted, "sim").select("id", "sim", F.array_intersect("places", _places()).alias("places"), "first.*")
+    candidates = nodes.where("size(keys) > 0").join(wanted, "sim").select("id", "sim", F.array_intersect("places", _places()).alias("places"), "first.*")
     places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places")).alias("want"))
     source = own_columns(docs, id_col, text_col).toDF("d", "text").withColumn("k", F.xxhash64("text"))
     held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
@@ -367,9 +381,9 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     return arrow_groups(found, ["place"], verified, "src binary, dst binary", 16384)
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
-    lines = cut(lines_of(docs, id_col, text_col, min_words))
+    lines = cut(lines_of(docs, id_col, text_col, min_words, exact_chars))
     nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.count("*").alias("n")))
     classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least)).withColumnRenamed("node", "id")
     release(docs.sparkSession)
@@ -383,15 +397,16 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """The documents without repeated lines, plus ``n_lines`` and ``removed`` (line numbers from 0).
 
-    Null text stays null and has no lines. Lines under ``min_words`` words stay.
+    Null text stays null and has no lines. Lines under ``min_words`` words go
+    only as equals of an earlier line, and stay under ``exact_chars`` characters.
     Rows that are equal in id and text are one document and share their fate;
     rows of one id with different texts are different documents. Other columns are
     kept; columns named ``n_lines`` or ``removed`` are replaced.
     """
-    fate = decisions(docs, id_col, text_col, min_words, least).toDF("lost_id", "lost_key", "lost")
+    fate = decisions(docs, id_col, text_col, min_words, least, exact_chars).toDF("lost_id", "lost_key", "lost")
     at = [i for i, c in enumerate(docs.columns) if c not in ("n_lines", "removed")]
     names, cols = [docs.columns[i] for i in at], [f"c{i}" for i in at]
     t = names.index(text_col)

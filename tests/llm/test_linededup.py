@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from loomframe.llm import linededup
 from loomframe.llm.common import roots_of
 
@@ -152,6 +153,15 @@ def test_lines_with_one_changed_character_link(docs):
     assert removed <= {2 * n + 1 for n in range(5, 40)} and len(removed) >= 34
 
 
+def test_equal_lines_of_few_words(spark, docs, sf_dir):
+    one = "\u65e5\u672c\u8a9e\u306e\u9577\u3044\u884c" * 6
+    rows = [(1, f"{one}\nand ornd"), (2, f"{one}\nAnd, ornd!"), (3, f"{one[:-1]}\nand ornb")]
+    got = {r.doc_id: r.removed for r in linededup.dedup_lines(docs(rows)).collect()}
+    assert got == {1: None, 2: [0], 3: None}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs(rows), sf_dir).collect()}
+    assert kept == {1: rows[0][1], 3: rows[2][1]}
+
+
 def test_odd_rows(odd, clash):
     rows = linededup.dedup_lines(odd).collect()
     assert len(rows) == 11 and sum(r.n_lines for r in rows) == 1 * 8 + 3 and all(r.removed is None for r in rows)
