@@ -31,20 +31,26 @@ PAIRS = 1 << 18
 SMALL = 64
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """64-bit SimHash of the word shingles of ``text``; 0 without words."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles of ``text``, in order; of fewer words, one of them all; none without words."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(length) - 1
     starts = (ends - length + 1).tolist()
     digest = xxhash.xxh64_intdigest
     n = len(words) - width + 1
-    h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """64-bit SimHash of the word shingles of ``text``; 0 without words."""
+    h = shingles(text, width)
+    n = len(h)
     count = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         count += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -207,6 +213,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each group, all columns as they are: the smallest id, and of its rows one."""
     found = classes(own_columns(docs, id_col, text_col).toDF("id", "text"), "id", "text", width, budget).where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("kept_id"), F.col("s.th").alias("kept_th"))
+    return _rows_of(docs, kept, id_col, text_col)
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each ``kept_id, kept_th``."""
     names = docs.columns
     i, t = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
     keyed = numbered(docs).withColumn("key", F.xxhash64(t))
@@ -215,5 +226,84 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
 
 
+#: Words of the shingles and least Jaccard similarity of near copies; bands of two minima that they meet on.
+SIMILAR_WIDTH, SIMILAR, BANDS = 5, 0.8, 8
+_MINIMA = np.random.default_rng(20_240_604).integers(1, 1 << 63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(text: str | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """A key for each band; texts with a shingle similarity of 0.8 share one in over 99.9 % of cases."""
+    h = shingles(text, width)
+    if not len(h):
+        h = np.zeros(1, np.uint64)
+    least = np.array([(h * f).min() for f in _MINIMA])
+    mixed = least[::2] * _MINIMA[0] ^ (least[1::2] * _MINIMA[1] >> np.uint64(7))
+    return (mixed >> np.uint64(3)) << np.uint64(3) | np.arange(BANDS, dtype=np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of shingles; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def similar_links(prints: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """``src, dst``: a spanning forest of the links between the distinct texts in ``prints`` (th, id, bands)."""
+    rows = prints.select("th", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    met = cut(rows.join(shared, "band").groupBy("th").agg(F.collect_list("band").alias("met")))
+    wanted = prints.select("th", "id").join(met, "th")
+    held = wanted.join(texts.toDF("d", "text", "k"), F.col("d").eqNullSafe(F.col("id")) & (F.col("k") == F.col("th"))).select("th", "text", F.explode("met").alias("band"))
+
+    def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        th, band, text = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1)
+        sets: dict[int, np.ndarray] = {}
+        src, dst = [], []
+        edges = np.append(np.flatnonzero(np.diff(band, prepend=band[0] - 1)), len(band)).tolist()
+        for lo, hi in zip(edges, edges[1:]):
+            parent = np.arange(hi - lo)
+            for i in range(hi - lo - 1):
+                for j in range(i + 1, hi - lo):
+                    if parent[i] == parent[j]:
+                        continue
+                    x, y = int(th[lo + i]), int(th[lo + j])
+                    if x != y:
+                        for v, at in ((x, lo + i), (y, lo + j)):
+                            if v not in sets:
+                                sets[v] = np.unique(shingles(text[at].as_py(), width))
+                        a, b = sets[x], sets[y]
+                        if min(len(a), len(b)) < least * max(len(a), len(b)) or similarity(a, b) < least:
+                            continue
+                        src.append(x)
+                        dst.append(y)
+                    parent[parent == parent[j]] = parent[i]
+                if (parent == parent[0]).all():
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst)], ["src", "dst"])
+
+    return arrow_groups(held, ["band"], verified, "src bigint, dst bigint", 512)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, least: float = SIMILAR) -> DataFrame:
+    """One document of each group of texts linked by a shingle similarity of ``least`` or more, all columns as they are.
+
+    The smallest id stays, of its rows one. Wordless and null texts are equal.
+    """
+    texts = own_columns(docs, id_col, text_col).toDF("id", "text").withColumn("th", F.xxhash64("text"))
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [bands(x, width).view(np.int64).tolist() for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["id", "th", "bands"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    prints = arrow_map(texts, f, f"id {kind}, th bigint, bands array<bigint>", 512)
+    # Null ids come last.
+    prints = cut(prints.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("s"), F.min("bands").alias("bands")).select("th", "s.id", "bands"))
+    groups = connected_components(similar_links(prints, texts, width, least)).withColumnRenamed("node", "th")
+    named = prints.join(groups, "th", "left").select("id", "th", F.coalesce("component", "th").alias("root"))
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("s")).select(F.col("s.id").alias("kept_id"), F.col("s.th").alias("kept_th"))
+    return _rows_of(docs, kept, id_col, text_col)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

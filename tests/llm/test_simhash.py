@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from loomframe.llm import simhash
 from loomframe.llm.common import connected_components, roots_of
 
@@ -76,6 +77,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
+def test_similar_texts_are_dropped_as_by_brute_force(spark, docs, sf_dir):
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 80, 2):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(60, 200))]
+        other = list(words)
+        for k in rng.sample(range(len(words)), 1 + i // 20):
+            other[k] = "z" * 5
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    near = [i for i in range(0, 80, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs(rows), sf_dir).collect()}
+    assert len(near) > 10 and kept == set(range(80)) - {i + 1 for i in near}
+    assert len(simhash.drop_near_duplicates(docs(rows)).collect()) > len(kept)
+
+
 def test_odd_rows(odd, clash):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 11 and {r.component_id for r in rows if r.fingerprint == "0" * 16} == {2}
