@@ -112,8 +112,8 @@ def word_keys(word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return (np.concatenate(keys)[np.argsort(at, kind="stable")] >> np.uint64(32)).astype(np.uint32), np.bincount(at, minlength=len(lo))
 
 
-def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash; its keys and their number.
+def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash; its keys and their number; characters.
 
     With ``exact_chars``, lines with fewer words but so many characters come without keys.
     """
@@ -126,12 +126,10 @@ def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None
     upto = np.searchsorted(a, ends)  # words before the end of each line
     size = np.diff(upto, prepend=0)
     keyed = size >= max(1, min_words)
-    good = keyed
-    if exact_chars is not None:
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        upto_chars = np.concatenate(([0], np.cumsum(chars[b] - chars[a])))
-        good = keyed | (size > 0) & (upto_chars[upto] - upto_chars[upto - size] + size - 1 >= exact_chars)
-    good = np.flatnonzero(good)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    upto_chars = np.concatenate(([0], np.cumsum(chars[b] - chars[a])))
+    length = upto_chars[upto] - upto_chars[upto - size] + size - 1
+    good = np.flatnonzero(keyed if exact_chars is None else keyed | (size > 0) & (length >= exact_chars))
     keyed = keyed[good]
     text = np.searchsorted(text_end, ends[good], "right")
     first_line = np.concatenate(([0], np.searchsorted(ends, text_end)))
@@ -140,7 +138,7 @@ def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None
     ids = np.column_stack([_spans(word, base, lo, hi) for base in _BASES[1:]])
     many = np.zeros(len(good), np.int64)
     keys, many[keyed] = word_keys(word, lo[keyed], hi[keyed])
-    return text, good - first_line[text], ids, simhashes(word, lo, hi), keys, many
+    return text, good - first_line[text], ids, simhashes(word, lo, hi), keys, many, length[good]
 
 
 def simhashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -222,12 +220,13 @@ def _distance(a: str, b: str, most: int) -> int:
     return d
 
 
-def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent: np.ndarray | None = None, chars: np.ndarray | None = None, least: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one group whose SimHashes differ in at most ``BLOCK_BITS`` bits and that share no earlier block.
 
     Keys of a group agree in ``block``. Each pair comes once, in the first
     sub-block that it shares. Sub-blocks are 12 bits of the other three blocks.
     Without a block, groups are those of a word key: all pairs within ``BITS`` bits.
+    With ``chars``, the length of each line, pairs whose lengths rule out a similarity of ``least`` are left out.
     With ``parent``, the component of each key, which the caller keeps up to date,
     long runs are gone through key by key and pairs of one component left out, so
     that a dense run costs about as much as it has keys.
@@ -247,6 +246,8 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent:
     def close(i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
         x = keys[i] ^ keys[j]
         ok = np.bitwise_count(x) <= (BITS if block is None else BLOCK_BITS)
+        if chars is not None:
+            ok &= np.minimum(chars[i], chars[j]) >= least * np.maximum(chars[i], chars[j]) - 1e-6
         for b in range(block or 0):
             ok &= (x >> np.uint64(width * (BLOCKS - 1 - b))) & rest != 0
         for t in range(s):
@@ -290,21 +291,21 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_chars: int) -> DataFrame:
-    """``doc_id, dkey, line, id, sim, keys`` of each line with enough words or characters; ``dkey`` is a hash of the text, ``keys`` are those of its words."""
+    """``doc_id, dkey, line, id, sim, keys, size`` of each line with enough words or characters; ``dkey`` is a hash of the text, ``keys`` are those of its words."""
     source = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("dkey", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, line, ids, sim, word, many = scan(batch.column(1).to_pylist(), min_words, exact_chars)
+        text, line, ids, sim, word, many, size = scan(batch.column(1).to_pylist(), min_words, exact_chars)
         at = pa.array(text)
         offsets = pa.py_buffer((16 * np.arange(len(text) + 1, dtype=np.int32)).tobytes())
         keys = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
         ends = pa.py_buffer(np.concatenate(([0], np.cumsum(many))).astype(np.int32).tobytes())
         words = pa.ListArray.from_buffers(pa.list_(pa.int32()), len(text), [None, ends], children=[pa.array(word.view(np.int32))])
-        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), keys, pa.array(sim.view(np.int64)), words]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "dkey", "line", "id", "sim", "keys"])
+        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), keys, pa.array(sim.view(np.int64)), words, pa.array(size, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "dkey", "line", "id", "sim", "keys", "size"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<int>", 512)
+    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<int>, size int", 512)
 
 
 _WIDTH = 64 // BLOCKS
@@ -329,15 +330,16 @@ def _by_kind(place: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys)."""
-    rows = nodes.where("size(keys) > 0").select("sim", F.explode(_places()).alias("place"))
+    """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys, size)."""
+    rows = nodes.where("size(keys) > 0").select("sim", F.explode(_places()).alias("place"), "size")
 
     def partners(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sim, place = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        size = batch.column(2).to_numpy()
         hit = np.zeros(len(sim), bool)
         for b, at in _by_kind(place):
             parent = np.arange(len(at))
-            for i, j in close_pairs(sim[at], place[at], b, parent):
+            for i, j in close_pairs(sim[at], place[at], b, parent, size[at], least):
                 hit[at[i]] = True
                 hit[at[j]] = True
                 roots_of(len(at), i, j, parent)
@@ -345,23 +347,24 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
 
     near = arrow_groups(rows, ["place"], partners, "sim bigint, place bigint")
     wanted = cut(near.groupBy("sim").agg(F.collect_set("place").alias("places")))
-    candidates = nodes.where("size(keys) > 0").join(wanted, "sim").select("id", "sim", F.array_intersect("places", _places()).alias("places"), "first.*")
-    places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places")).alias("want"))
+    release(docs.sparkSession)
+    candidates = nodes.where("size(keys) > 0").join(wanted, "sim").select("id", "sim", F.array_intersect("places", _places()).alias("places"), "size", "first.*")
+    places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places", "size")).alias("want"))
     source = own_columns(docs, id_col, text_col).toDF("d", "text").withColumn("k", F.xxhash64("text"))
     held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
     # The lines themselves are cut out in the JVM; only they go to Python.
     held = held.select(F.split("text", "\n").alias("lines"), "want")
-    found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["places"].alias("places"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
-    found = found.select(F.explode("places").alias("place"), "sim", "id", "words").dropDuplicates(["place", "id"])
+    found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["places"].alias("places"), w["size"].alias("size"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
+    found = found.select(F.explode("places").alias("place"), "sim", "id", "words", "size").dropDuplicates(["place", "id"])
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         place, sim = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        words = batch.column(3)
+        words, size = batch.column(3), batch.column(4).to_numpy()
         edges: list[tuple[int, int]] = []
         text: dict[int, str] = {}
         for b, at in _by_kind(place):
             parent = np.arange(len(at))
-            for i, j in close_pairs(sim[at], place[at], b, parent):
+            for i, j in close_pairs(sim[at], place[at], b, parent, size[at], least):
                 for p in range(0, len(i), 4096):
                     x, y = i[p : p + 4096], j[p : p + 4096]
                     apart = parent[x] != parent[y]
@@ -384,7 +387,8 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
     lines = cut(lines_of(docs, id_col, text_col, min_words, exact_chars))
-    nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.count("*").alias("n")))
+    nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.min("size").alias("size"), F.count("*").alias("n")))
+    release(docs.sparkSession)
     classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least)).withColumnRenamed("node", "id")
     release(docs.sparkSession)
     several = nodes.join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("root"))

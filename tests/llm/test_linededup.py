@@ -135,7 +135,7 @@ def all_similar(lines):
 def test_recall_of_similar_lines(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     lines = sorted({w for t in texts for x in (t or "").split("\n") if len((w := linededup.normalise(x).decode()).split()) >= 5})
-    *_, sim, keys, many = linededup.scan(lines, 1)
+    *_, sim, keys, many, _ = linededup.scan(lines, 1)
     own = [set(k.tolist()) for k in np.split(keys, np.cumsum(many)[:-1])]
     pairs = list(all_similar(lines))
     found = [bool(own[i] & own[j]) and np.bitwise_count(sim[i] ^ sim[j]) <= linededup.BITS for i, j in pairs]
