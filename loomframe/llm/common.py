@@ -6,12 +6,15 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +23,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
+    """This application's folder in the one that the session names in ``spark.checkpoint.dir``; it goes when the application ends.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Where that is unset, a temporary one is made on a single machine; a cluster has to name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        _path(spark, sc.getCheckpointDir(), lambda fs, p: fs.deleteOnExit(p))
     return sc.getCheckpointDir()
 
 
+def _path(spark: SparkSession, path: str, f):
+    """``f`` of the path and its file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return f(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
@@ -37,12 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: smaller than a checkpoint for whole texts."""
+    """Write ``df`` as Parquet into the shared folder and read it again: smaller than a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` frame that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _path(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of what has been cut.
 
@@ -57,6 +77,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Bytes of a word up to which it is hashed in numpy, eight at a time.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches ``raw[a:b]``, each at least a byte long."""
+    padded = raw + bytes(8)
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    size = b - a
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at = np.arange(len(a))
+    for k in range(0, _SHORT, 8):
+        if k:
+            at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] = mix((out[at] ^ eight[a[at] + k] & _MASKS[np.minimum(size[at] - k, 8)]) * np.uint64(0xD1342543DE82EF95))
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[a[k] : b[k]])
+    return out
+
+
+def stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values; the last value is false."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.concatenate(([0], edges))
+    return edges[::2], edges[1::2]
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The frame with its columns named c0, c1, ...: no name can clash with those of an operator."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -68,17 +126,36 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return numbered(df).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:
-    """``f`` over record batches of at most ``rows`` rows.
+#: Bytes of texts that an operator takes at once, unless a single text has more.
+BATCH_BYTES = 1 << 20
+
+
+def by_size(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of texts; a longer text is a slice of its own."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(total)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+        upto = min(max(upto, at + 1), at + rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256, size: int = BATCH_BYTES) -> DataFrame:
+    """``f`` over record batches of at most ``rows`` rows and about ``size`` bytes of texts.
 
     Batches are cut again on the Python side, so that what ``f`` holds at once
-    does not depend on the session's Arrow batch size.
+    does not depend on the session's Arrow batch size, nor on how long texts are.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := f(batch.slice(at, rows))) is not None:
+            for part in by_size(batch, rows, size):
+                if (out := f(part)) is not None:
                     yield out
 
     return df.mapInArrow(each, schema)
@@ -126,6 +203,13 @@ def arrow_groups(
     return dealt.mapInArrow(each, schema)
 
 
+def salted_join(large: DataFrame, small: DataFrame, key: str, salt: str, parts: int = 16) -> DataFrame:
+    """Inner join on ``key``, of which ``small`` has one row each; a key with very many rows in ``large`` is dealt to ``parts`` tasks by the column ``salt``."""
+    dealt = large.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    copies = small.withColumn("_part", F.explode(F.array(*map(F.lit, range(parts)))))
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def roots_of(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
     """Smallest index that each of ``n`` nodes reaches over the links ``a``-``b``; a given ``parent`` is updated."""
     parent = np.arange(n) if parent is None else parent

@@ -1,16 +1,15 @@
 """Fuzzy line dedup.
 
 Lines are normalised (lower case; ASCII punctuation and white space only separate
-words). Equal ones are merged by a 128-bit
-hash; the rest get a 64-bit SimHash of their words. Two lines link if their
-SimHashes differ in at most 16 bits and their normalised texts have an edit
-similarity of 0.8 or more. The bits only spare edit distances; lines meet on
-shuffle keys of two kinds. Keys of their words: the line without one of its words
-(short lines), and the least of its three-word shingles under eight hash functions
-(longer ones). Blocks of the SimHash: those within 3 bits agree in one of four
-blocks of 16 bits, and outside it in one of four sub-blocks, which are told apart
-within the task. Of each connected group the occurrence in the smallest document,
-then line, stays.
+words). Equal ones are merged by a 128-bit hash; the rest get a SimHash of eight
+blocks: a word belongs to the block that its hash names, and a block is the 64-bit
+SimHash of its words. Words that differ touch their own blocks only, so by the
+pigeonhole principle lines with few other words agree in whole blocks, which are
+the join keys; blocks with few characters are taken together with those after them,
+and lines of few words are joined by all of their words but one. Pairs that meet
+link if the 64-bit SimHashes of the whole lines differ in at most 16 bits and the
+normalised texts have an edit similarity of 0.8 or more. Of each connected group
+the occurrence in the smallest document, then line, stays.
 """
 
 from __future__ import annotations
@@ -20,22 +19,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, release, roots_of, table
+from .common import BATCH_BYTES, arrow_groups, arrow_map, connected_components, cut, discard, mix, numbered, own_columns, release, roots_of, salted_join, stored, stretches, table, word_hashes
 
 SIMILARITY = 0.8
 #: Bits in which the SimHashes of linked lines may differ; from 17 on, lines with other words in most places would link.
 BITS = 16
-#: Bits within which blocks of the SimHash find every pair, and those blocks.
-BLOCK_BITS, BLOCKS = 3, 4
-#: Lines of up to so many words are met without one of their words; lines from so many words by the least of their shingles, under so many hash functions.
-HOLES, SHINGLES_FROM, TABLES = 10, 7, 8
+#: Blocks of a SimHash, and characters that the words behind a join key have at least.
+BLOCKS, KEY_CHARS = 8, 20
+#: Lines of up to so many different words are joined by all of them but one, if so many are left.
+HOLES, LEFT = 8, 3
 #: Lines with fewer words link only if they are equal.
 MIN_WORDS = 5
 #: Of those, lines with fewer characters (normalised) are never removed.
 EXACT_CHARS = 32
+#: Lines with one join key from which they are dealt out as pairs of parts, and the share of lines that such keys are found from.
+HOT_ROWS, HOT_SHARE = 1 << 17, 64
 #: Bytes that make up words: ASCII letters and digits, and all of non-ASCII characters.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, bool)
@@ -44,11 +46,9 @@ _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 PAIRS = 1 << 19
 #: Keys of a run from which it is gone through key by key.
 LONG_RUN = 512
-_M64 = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-_TABLE = np.random.default_rng(20_240_603).integers(1, 1 << 63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE = np.random.default_rng(20_240_602).integers(1, 1 << 63, 256, np.uint64)
-_powers: dict[int, np.ndarray] = {}
+#: Lines whose words are sorted together.
+LINES = 1 << 15
+_BLOCK = np.random.default_rng(20_240_603).integers(1, 1 << 63, BLOCKS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normalise(line: str) -> bytes:
@@ -56,112 +56,143 @@ def normalise(line: str) -> bytes:
     return b" ".join(_WORDS.findall(line.lower().encode("utf-8", "surrogatepass")))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept and grown from call to call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        out = np.ones(size, np.uint64)
-        done, step = 1, base & _M64
-        while done < size:
-            out[done : 2 * done] = out[:done] * np.uint64(step)
-            done, step = 2 * done, step * step & _M64
-        _powers[base] = have = out
-    return have[:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _spans(values: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each of the ranges of ``values``, from one prefix sum."""
-    n = len(values)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _power(base, n), dtype=np.uint64)))
-    return _mix((prefix[b] - prefix[a]) * _power(pow(base, -1, 1 << 64), n + 1)[a])
-
-
-def word_keys(word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit keys of each of the ranges of word hashes, one after the other, and how many each has."""
-    n = hi - lo
-    which, keys = [], []
-    if len(short := np.flatnonzero(n <= HOLES)):
-        base = _BASES[1]
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * _power(base, len(word)), dtype=np.uint64)))
-        back, step = _power(pow(base, -1, 1 << 64), len(word) + 2), _power(base, HOLES + 1)
-        # Each word left out, then none: what is left is hashed as if it stood together.
-        k = np.repeat(short, n[short] + 1)
-        at = np.arange(len(k)) - np.repeat(np.cumsum(n[short] + 1) - n[short] - 1, n[short] + 1)
-        mid = lo[k] + at
-        after = np.minimum(mid + 1, hi[k])
-        rest = (prefix[hi[k]] - prefix[after]) * back[after] * step[at]
-        which.append(k)
-        keys.append(_mix((prefix[mid] - prefix[lo[k]]) * back[lo[k]] + rest))
-    if len(long := np.flatnonzero(n >= SHINGLES_FROM)):
-        a, b, c = (np.uint64(x) for x in _BASES)
-        shingle = np.append(_mix(word[:-2] * a + word[1:-1] * b + word[2:] * c), np.uint64(0))
-        edges = np.column_stack((lo[long], hi[long] - 2)).ravel()
-        for t, factor in enumerate(_TABLE):
-            which.append(long)
-            keys.append(_mix(np.minimum.reduceat(shingle * factor, edges)[::2] + np.uint64(t)))
-    if not which:
-        return np.zeros(0, np.uint32), np.zeros(len(lo), np.int64)
-    at = np.concatenate(which)
-    return (np.concatenate(keys)[np.argsort(at, kind="stable")] >> np.uint64(32)).astype(np.uint32), np.bincount(at, minlength=len(lo))
-
-
-def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with enough words: text number, line number, 128-bit hash (two columns), SimHash; its keys and their number; characters.
+def _lanes(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Ones of each bit in the runs of hashes from ``start`` on: one word of eight one-byte counters for each bit of a byte.
+
+    Over 255 hashes the counters of a run flow over into each other, always alike.
+    """
+    low = np.uint64(0x0101010101010101)
+    return np.stack([np.add.reduceat((h >> np.uint64(j)) & low, start) for j in range(8)])
+
+
+def _majority(lanes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """SimHashes from counters of ones (bit within a byte, row) among ``of`` hashes."""
+    out = np.zeros((lanes.shape[1], 8), np.uint8)
+    half = np.minimum(of // 2, 255).astype(np.uint8)[:, None]
+    for j in range(8):
+        out |= (lanes[j].view(np.uint8).reshape(-1, 8) > half).view(np.uint8) << np.uint8(j)
+    return out.view("<u8").ravel()
+
+
+def _majority_of(h: np.ndarray) -> int:
+    """SimHash of any number of hashes."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def simhashes(word: np.ndarray, chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash of each of the ranges of word hashes; join keys, one line after the other, and how many each has."""
+    out = [_simhashes(word, chars, lo[at : at + LINES], hi[at : at + LINES]) for at in range(0, len(lo), LINES)]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _simhashes(word: np.ndarray, chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, lines = hi - lo, len(lo)
+    line = np.repeat(np.arange(lines), n)
+    at = np.arange(len(line)) + np.repeat(lo - (np.cumsum(n) - n), n)
+    # Different words of each line, by block: line, hash (its first three bits name the block), length.
+    words = np.sort(line.astype(np.uint64) << np.uint64(49) | word[at] >> np.uint64(21) << np.uint64(6) | np.minimum(chars[at], 63).astype(np.uint64))
+    words = words[np.concatenate(([True], words[1:] != words[:-1]))]
+    line = (words >> np.uint64(49)).astype(np.int64)
+    cell = (words >> np.uint64(46)).astype(np.int64)
+    h = mix(words & np.uint64((1 << 49) - 1))
+    many = np.bincount(cell, minlength=BLOCKS * lines)
+    length = np.bincount(cell, (words & np.uint64(63)).astype(np.int64), BLOCKS * lines).astype(np.int64).reshape(lines, BLOCKS)
+    full = np.flatnonzero(many)
+    lanes = _lanes(h, (np.cumsum(many) - many)[full])
+    block = np.zeros(BLOCKS * lines, np.uint64)
+    block[full] = _majority(lanes, many[full])
+    lanes = np.add.reduceat(lanes, np.searchsorted(full, BLOCKS * np.arange(lines)), axis=1)
+    many = many.reshape(lines, BLOCKS)
+    size = many.sum(axis=1)
+    ends = np.cumsum(size)
+    sim = _majority(lanes, size)
+    for k in np.flatnonzero(size > 255).tolist():
+        sim[k] = _majority_of(h[ends[k] - size[k] : ends[k]])
+
+    # From each block on, as many blocks as have enough characters.
+    twice = lambda x: np.concatenate((np.zeros((lines, 1), x.dtype), np.cumsum(np.concatenate((x, x), axis=1), axis=1, dtype=x.dtype)), axis=1)
+    upto, sums = twice(length), twice(mix(block.reshape(lines, BLOCKS) * _BLOCK) * (many > 0))
+    row = np.arange(lines)
+    keys = np.zeros((lines, BLOCKS), np.uint64)
+    for c in range(BLOCKS):
+        w = np.minimum((upto[:, c + 1 : c + BLOCKS + 1] - upto[:, c : c + 1] < KEY_CHARS).sum(axis=1), BLOCKS - 1) + 1
+        keys[:, c] = (sums[row, c + w] - sums[:, c]) * ((many[:, c] > 0) & (size >= HOLES))
+    keys.sort(axis=1)
+    good = keys != 0
+    good[:, 1:] &= keys[:, 1:] != keys[:, :-1]
+    which, found = [np.nonzero(good)[0]], [mix(keys[good])]
+
+    short = size <= HOLES
+    which.append(np.flatnonzero(short))
+    found.append(mix(sim[short]))
+    at = np.flatnonzero((short & (size > LEFT))[line])
+    own = line[at]
+    which.append(own)
+    less = np.stack([lanes[j, own] - ((h[at] >> np.uint64(j)) & np.uint64(0x0101010101010101)) for j in range(8)])
+    found.append(mix(_majority(less, size[own] - 1)))
+    which = np.concatenate(which)
+    return sim, np.concatenate(found)[np.argsort(which, kind="stable")], np.bincount(which, minlength=lines)
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text number, first line, bytes) of whole lines, about as many as an operator takes at once."""
+    held, size = [], 0
+    for k, x in enumerate(texts):
+        raw, line = (x or "").lower().encode("utf-8", "surrogatepass"), 0
+        while len(raw) > 2 * BATCH_BYTES and (end := raw.find(b"\n", BATCH_BYTES)) >= 0:
+            yield [(k, line, raw[:end])]
+            line += raw.count(b"\n", 0, end) + 1
+            raw = raw[end + 1 :]
+        held.append((k, line, raw))
+        size += len(raw)
+        if size > BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def scan(texts: list[str | None], min_words: int, exact_chars: int | None = None) -> tuple[np.ndarray, ...]:
+    """Of each line with enough words: text number, line number, 128-bit hash (16 bytes), SimHash; its join keys and their number; characters.
 
     With ``exact_chars``, lines with fewer words but so many characters come without keys.
     """
-    raw = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    text_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    out = [_scan(parts, min_words, exact_chars) for parts in _parts(texts)]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _scan(parts: list[tuple[int, int, bytes]], min_words: int, exact_chars: int | None) -> tuple[np.ndarray, ...]:
+    joined = b"\n".join(raw for *_, raw in parts) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    part_end = np.cumsum(np.fromiter((len(raw) + 1 for *_, raw in parts), np.int64, len(parts)))
     ends = np.flatnonzero(data == 0x0A)
-    edge = np.diff(_IN_WORD[data].view(np.int8), prepend=0)
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = _IN_WORD.take(data)
+    a, b = stretches(inside)
     upto = np.searchsorted(a, ends)  # words before the end of each line
     size = np.diff(upto, prepend=0)
     keyed = size >= max(1, min_words)
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    upto_chars = np.concatenate(([0], np.cumsum(chars[b] - chars[a])))
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
+    wide = chars[b] - chars[a]
+    upto_chars = np.concatenate(([0], np.cumsum(wide)))
     length = upto_chars[upto] - upto_chars[upto - size] + size - 1
     good = np.flatnonzero(keyed if exact_chars is None else keyed | (size > 0) & (length >= exact_chars))
     keyed = keyed[good]
-    text = np.searchsorted(text_end, ends[good], "right")
-    first_line = np.concatenate(([0], np.searchsorted(ends, text_end)))
-    word = _spans(_VALUE[data], _BASES[0], a, b)
+    part = np.searchsorted(part_end, ends[good], "right")
+    first_line = np.concatenate(([0], np.searchsorted(ends, part_end)))
+    numbers = np.array([(k, line) for k, line, _ in parts], np.int64).reshape(-1, 2)
+    word = word_hashes(joined, a, b)
     lo, hi = upto[good] - size[good], upto[good]
-    ids = np.column_stack([_spans(word, base, lo, hi) for base in _BASES[1:]])
-    many = np.zeros(len(good), np.int64)
-    keys, many[keyed] = word_keys(word, lo[keyed], hi[keyed])
-    return text, good - first_line[text], ids, simhashes(word, lo, hi), keys, many, length[good]
-
-
-def simhashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """SimHash of each of the ranges of word hashes: a bit is 1 if it is in over half of them.
-
-    Eight one-byte counters lie in a word, so each range is counted in parts of
-    at most 255 hashes.
-    """
-    if not len(lo):
-        return np.zeros(0, np.uint64)
-    parts = (hi - lo + 254) // 255
-    first = np.cumsum(parts) - parts
-    at = np.repeat(lo - 255 * first, parts) + 255 * np.arange(int(parts.sum()))
-    stop = np.minimum(at + 255, np.repeat(hi, parts))
-    edges = np.column_stack((at, stop)).ravel()
-    low = np.uint64(0x0101010101010101)
-    padded = np.append(h, np.uint64(0))
-    count = np.empty((len(at), 8, 8), np.uint8)  # part, bit within a byte, byte
-    for j in range(8):
-        count[:, j, :] = np.ascontiguousarray(np.add.reduceat((padded >> np.uint64(j)) & low, edges)[::2]).view(np.uint8).reshape(-1, 8)
-    total = count.astype(np.int32) if len(at) == len(lo) else np.add.reduceat(count, first, axis=0, dtype=np.int32)
-    bits = 2 * total > (hi - lo)[:, None, None]
-    return np.packbits(bits.transpose(0, 2, 1).reshape(len(lo), 64), axis=1, bitorder="little").view("<u8").ravel()
+    # The normalised lines: each word and one space.
+    inside[b] = True
+    plain = data[inside]
+    place = np.concatenate(([0], np.cumsum(b - a + 1)))
+    plain[place[1:] - 1] = 0x20
+    plain, digest = plain.tobytes(), xxhash.xxh3_128_digest
+    ids = b"".join([digest(plain[x:y]) for x, y in zip(place[lo].tolist(), (place[hi] - 1).tolist())])
+    sim, many = np.zeros(len(good), np.uint64), np.zeros(len(good), np.int64)
+    sim[keyed], keys, many[keyed] = simhashes(word, wide, lo[keyed], hi[keyed])
+    return numbers[part, 0], good - first_line[part] + numbers[part, 1], np.frombuffer(ids, np.uint8).reshape(-1, 16), sim, keys, many, length[good]
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -220,135 +251,113 @@ def _distance(a: str, b: str, most: int) -> int:
     return d
 
 
-def close_pairs(keys: np.ndarray, group: np.ndarray, block: int | None, parent: np.ndarray | None = None, chars: np.ndarray | None = None, least: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one group whose SimHashes differ in at most ``BLOCK_BITS`` bits and that share no earlier block.
+def close_pairs(keys: np.ndarray, group: np.ndarray, parent: np.ndarray | None = None, chars: np.ndarray | None = None, least: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one group (a run) whose SimHashes differ in at most ``BITS`` bits.
 
-    Keys of a group agree in ``block``. Each pair comes once, in the first
-    sub-block that it shares. Sub-blocks are 12 bits of the other three blocks.
-    Without a block, groups are those of a word key: all pairs within ``BITS`` bits.
     With ``chars``, the length of each line, pairs whose lengths rule out a similarity of ``least`` are left out.
     With ``parent``, the component of each key, which the caller keeps up to date,
     long runs are gone through key by key and pairs of one component left out, so
     that a dense run costs about as much as it has keys.
     """
-    width = 64 // BLOCKS
-    rest = np.uint64((1 << width) - 1)
-    if block is None:
-        subs = [np.zeros(len(keys), np.uint64)]
-    else:
-        shift = np.uint64(width * (BLOCKS - 1 - block))
-        # The other three blocks side by side: 48 bits.
-        low = keys & ((np.uint64(1) << shift) - np.uint64(1))
-        high = np.uint64(0) if block == 0 else keys >> (shift + np.uint64(width))
-        others = (high << shift) | low if block else low
-        subs = [(others >> np.uint64(12 * s)) & np.uint64(0xFFF) for s in range(4)]
-
-    def close(i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
-        x = keys[i] ^ keys[j]
-        ok = np.bitwise_count(x) <= (BITS if block is None else BLOCK_BITS)
+
+    def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(keys[i] ^ keys[j]) <= BITS
         if chars is not None:
             ok &= np.minimum(chars[i], chars[j]) >= least * np.maximum(chars[i], chars[j]) - 1e-6
-        for b in range(block or 0):
-            ok &= (x >> np.uint64(width * (BLOCKS - 1 - b))) & rest != 0
-        for t in range(s):
-            ok &= subs[t][i] != subs[t][j]
         return ok
 
-    for s in range(len(subs)):
-        order = np.lexsort((subs[s], group))
-        g, k = group[order], subs[s][order]
-        edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]))))
-        size = np.diff(np.append(edges, len(g)))
-        long = (size > LONG_RUN) & (parent is not None)
-        for lo, n in zip(edges[long].tolist(), size[long].tolist()):
-            run = order[lo : lo + n]
-            for p in range(n - 1):
-                own = parent[run]
-                j = run[p + 1 :][own[p + 1 :] != own[p]]
-                if not len(j) and (own == own[0]).all():
-                    break
-                i = np.broadcast_to(run[p], len(j))
-                if (ok := close(i, j, s)).any():
-                    yield i[ok], j[ok]
-        many = (size > 1) & ~long
-        lo, size = edges[many], size[many]
-        # Each member of a run with those after it.
-        first = np.repeat(lo, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        after = np.repeat(lo + size, size) - first - 1
-        first, after = first[after > 0], after[after > 0]
-        total = np.cumsum(after)
-        at = 0
-        while at < len(first):
-            done = int(total[at - 1]) if at else 0
-            upto = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
-            n = after[at:upto]
-            i = np.repeat(first[at:upto], n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            i, j = order[i], order[j]
-            if (ok := close(i, j, s)).any():
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(edges, len(group)))
+    long = (size > LONG_RUN) & (parent is not None)
+    for lo, n in zip(edges[long].tolist(), size[long].tolist()):
+        run = np.arange(lo, lo + n)
+        for p in range(n - 1):
+            own = parent[run]
+            j = run[p + 1 :][own[p + 1 :] != own[p]]
+            if not len(j) and (own == own[0]).all():
+                break
+            i = np.broadcast_to(run[p], len(j))
+            if (ok := close(i, j)).any():
                 yield i[ok], j[ok]
-            at = upto
+    many = (size > 1) & ~long
+    lo, size = edges[many], size[many]
+    # Each member of a run with those after it.
+    first = np.repeat(lo, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    after = np.repeat(lo + size, size) - first - 1
+    first, after = first[after > 0], after[after > 0]
+    total = np.cumsum(after)
+    at = 0
+    while at < len(first):
+        done = int(total[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        n = after[at:upto]
+        i = np.repeat(first[at:upto], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        if (ok := close(i, j)).any():
+            yield i[ok], j[ok]
+        at = upto
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_chars: int) -> DataFrame:
-    """``doc_id, dkey, line, id, sim, keys, size`` of each line with enough words or characters; ``dkey`` is a hash of the text, ``keys`` are those of its words."""
+    """``doc_id, dkey, line, id, sim, keys, size`` of each line with enough words or characters; ``dkey`` is a hash of the text, ``keys`` are what lines are joined by."""
     source = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("dkey", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, line, ids, sim, word, many, size = scan(batch.column(1).to_pylist(), min_words, exact_chars)
+        text, line, ids, sim, keys, many, size = scan(batch.column(1).to_pylist(), min_words, exact_chars)
         at = pa.array(text)
         offsets = pa.py_buffer((16 * np.arange(len(text) + 1, dtype=np.int32)).tobytes())
-        keys = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
+        id_ = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(ids.tobytes())])
         ends = pa.py_buffer(np.concatenate(([0], np.cumsum(many))).astype(np.int32).tobytes())
-        words = pa.ListArray.from_buffers(pa.list_(pa.int32()), len(text), [None, ends], children=[pa.array(word.view(np.int32))])
-        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), keys, pa.array(sim.view(np.int64)), words, pa.array(size, pa.int32())]
+        keys = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(text), [None, ends], children=[pa.array(keys.view(np.int64))])
+        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), id_, pa.array(sim.view(np.int64)), keys, pa.array(size, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "dkey", "line", "id", "sim", "keys", "size"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<int>, size int", 512)
-
+    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<bigint>, size int", 4096)
 
-_WIDTH = 64 // BLOCKS
 
+def _dealt(rows: DataFrame, nodes: DataFrame, hot_rows: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` and what to group them by; lines with a very frequent key are dealt out as all pairs of parts, so that no task gets many times ``hot_rows``."""
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SHARE)) == 0).select(F.explode("keys").alias("place"))
+    hot = cut(some.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > hot_rows).select("place", F.ceil(F.col("n") * HOT_SHARE / hot_rows).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows, ["place"]
+    parted = rows.join(hot, "place", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("sim"), F.col("parts")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return parted.select(*rows.columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")), ["place", "p", "q"]
 
-def _block_place(block: int) -> Column:
-    """Number of the block and its value in one."""
-    value = F.shiftrightunsigned("sim", 64 - _WIDTH * (block + 1)).bitwiseAND(F.lit((1 << _WIDTH) - 1))
-    return (F.lit(block << _WIDTH) + value).cast("long")
 
+def _letters(lines: list[str]) -> np.ndarray:
+    return np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64) for x in lines], np.int32).reshape(-1, 64)
 
-def _places() -> Column:
-    """Shuffle keys of a line: its four blocks, and from 2^32 on its word keys."""
-    return F.concat(F.array(*[_block_place(b) for b in range(BLOCKS)]), F.transform("keys", lambda k: k.cast("long") + F.lit(3 << 31)))
 
-
-def _by_kind(place: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(block, rows) of each block; None for the rows of word keys."""
-    for b in range(BLOCKS):
-        yield b, np.flatnonzero(place >> _WIDTH == b)
-    yield None, np.flatnonzero(place >= 1 << 32)
-
-
-def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys, size)."""
-    rows = nodes.where("size(keys) > 0").select("sim", F.explode(_places()).alias("place"), "size")
+    rows, by = _dealt(nodes.select("sim", F.explode("keys").alias("place"), "size"), nodes, hot_rows)
 
     def partners(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sim, place = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        size = batch.column(2).to_numpy()
-        hit = np.zeros(len(sim), bool)
-        for b, at in _by_kind(place):
-            parent = np.arange(len(at))
-            for i, j in close_pairs(sim[at], place[at], b, parent, size[at], least):
-                hit[at[i]] = True
-                hit[at[j]] = True
-                roots_of(len(at), i, j, parent)
-        yield pa.RecordBatch.from_arrays([pa.array(sim[hit].view(np.int64)), pa.array(place[hit])], ["sim", "place"])
-
-    near = arrow_groups(rows, ["place"], partners, "sim bigint, place bigint")
+        sim, size = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+        edge = np.zeros(batch.num_rows, bool)
+        edge[:1] = True
+        for c in [1, *range(3, batch.num_columns)]:
+            edge[1:] |= (v := batch.column(c).to_numpy())[1:] != v[:-1]
+        group = np.cumsum(edge)
+        at = np.flatnonzero(np.bincount(group)[group] > 1)
+        sim, group, size = sim[at], group[at], size[at]
+        parent = np.arange(len(at))
+        for i, j in close_pairs(sim, group, parent, size, least):
+            roots_of(len(at), i, j, parent)
+        # A component of a key is known by its members, as the same lines mostly meet by several keys.
+        members = np.bincount(parent, minlength=len(at))
+        hit = members[parent] > 1
+        name = np.zeros(len(at), np.uint64)
+        np.add.at(name, parent[hit], mix(sim[hit] + np.uint64(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(sim[hit].view(np.int64)), pa.array(name[parent[hit]].view(np.int64))], ["sim", "place"])
+
+    near = arrow_groups(rows, by, partners, "sim bigint, place bigint")
     wanted = cut(near.groupBy("sim").agg(F.collect_set("place").alias("places")))
     release(docs.sparkSession)
-    candidates = nodes.where("size(keys) > 0").join(wanted, "sim").select("id", "sim", F.array_intersect("places", _places()).alias("places"), "size", "first.*")
+    candidates = nodes.where("size(keys) > 0").select("id", "sim", "size", "first.*").join(wanted, "sim")
     places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places", "size")).alias("want"))
     source = own_columns(docs, id_col, text_col).toDF("d", "text").withColumn("k", F.xxhash64("text"))
     held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
@@ -358,45 +367,55 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     found = found.select(F.explode("places").alias("place"), "sim", "id", "words", "size").dropDuplicates(["place", "id"])
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        place, sim = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        words, size = batch.column(3), batch.column(4).to_numpy()
-        edges: list[tuple[int, int]] = []
-        text: dict[int, str] = {}
-        for b, at in _by_kind(place):
-            parent = np.arange(len(at))
-            for i, j in close_pairs(sim[at], place[at], b, parent, size[at], least):
-                for p in range(0, len(i), 4096):
-                    x, y = i[p : p + 4096], j[p : p + 4096]
-                    apart = parent[x] != parent[y]
-                    for k, m in zip(x[apart].tolist(), y[apart].tolist()):
-                        if parent[k] == parent[m]:
-                            continue
-                        for z in (int(at[k]), int(at[m])):
-                            if z not in text:
-                                text[z] = normalise(words[z].as_py()).decode("utf-8", "replace")
-                        if similar(text[int(at[k])], text[int(at[m])], least):
-                            lo, hi = sorted((parent[k], parent[m]))
-                            parent[parent == hi] = lo
-                            edges.append((int(at[k]), int(at[m])))
+        place, sim, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(4).to_numpy()
+        text = [normalise(x).decode("utf-8", "replace") for x in batch.column(3).to_pylist()]
+        count, parent, none = _letters(text), np.arange(len(text)), np.zeros(0, np.int64)
+        src, dst = [], []
+        for i, j in close_pairs(sim, place, parent, size, least):
+            for p in range(0, len(i), 4096):
+                x, y = i[p : p + 4096], j[p : p + 4096]
+                apart = parent[x] != parent[y]
+                x, y = x[apart], y[apart]
+                # Letters that only one of the two has bound the distance from below.
+                d = count[x] - count[y]
+                far = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+                near = far <= (1 - least) * np.maximum(size[x], size[y]) + 1e-6
+                for k, m in zip(x[near].tolist(), y[near].tolist()):
+                    if _root(parent, k) != _root(parent, m) and similar(text[k], text[m], least):
+                        a, b = sorted((_root(parent, k), _root(parent, m)))
+                        parent[b] = a
+                        src.append(k)
+                        dst.append(m)
+                roots_of(len(parent), none, none, parent)
         ids = batch.column(2)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array([e[k] for e in edges], pa.int64())) for k in (0, 1)], ["src", "dst"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (src, dst)], ["src", "dst"])
+
+    return arrow_groups(found, ["place"], verified, "src binary, dst binary", 4096)
+
 
-    return arrow_groups(found, ["place"], verified, "src binary, dst binary", 16384)
+def _root(parent: np.ndarray, k: int) -> int:
+    while (up := int(parent[k])) != k:
+        k = up
+    return k
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
-    lines = cut(lines_of(docs, id_col, text_col, min_words, exact_chars))
-    nodes = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.min("size").alias("size"), F.count("*").alias("n")))
+    lines = stored(lines_of(docs, id_col, text_col, min_words, exact_chars), "lines")
+    nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.min("size").alias("size"), F.count("*").alias("n"))
+    nodes = stored(nodes, "nodes")
     release(docs.sparkSession)
-    classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least)).withColumnRenamed("node", "id")
+    classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least, hot_rows)).withColumnRenamed("node", "id")
     release(docs.sparkSession)
-    several = nodes.join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("root"))
-    several = cut(several)
-    kept = several.groupBy("root").agg(F.min("first").alias("keep"))
-    fate = several.join(kept, "root").select("id", "keep")
+    several = cut(nodes.select("id", "first", "n").join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", "component"))
+    linked = several.where("component is not null").select("id", "first", "component")
+    kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    fate = salted_join(linked, kept, "component", "id").select("id", "keep").unionAll(several.where("component is null").select("id", F.col("first").alias("keep")))
+    fate = cut(fate)
     gone = lines.select("doc_id", "dkey", "line", "id").join(fate, "id").where(~F.struct("doc_id", "line", "dkey").eqNullSafe(F.col("keep")))
     gone = cut(gone.groupBy("doc_id", "dkey").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    discard(lines)
+    discard(nodes)
     release(docs.sparkSession)
     return gone
 
@@ -429,7 +448,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), batch.column(len(cols))], [*cols, "n_lines", "removed"])
 
     schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in cols)
-    return arrow_map(joined, f, schema + ", n_lines bigint, removed array<int>", 512).toDF(*names, "n_lines", "removed")
+    return arrow_map(joined, f, schema + ", n_lines bigint, removed array<int>", 4096).toDF(*names, "n_lines", "removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
