@@ -203,10 +203,59 @@ def arrow_groups(
     return dealt.mapInArrow(each, schema)
 
 
-def salted_join(large: DataFrame, small: DataFrame, key: str, salt: str, parts: int = 16) -> DataFrame:
-    """Inner join on ``key``, of which ``small`` has one row each; a key with very many rows in ``large`` is dealt to ``parts`` tasks by the column ``salt``."""
-    dealt = large.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
-    copies = small.withColumn("_part", F.explode(F.array(*map(F.lit, range(parts)))))
+def dealt(rows: DataFrame, counts: DataFrame, key: str, by: str, most: int, share: int = 1) -> tuple[DataFrame, list[str]]:
+    """``rows`` and the columns to group them by, so that rows of one ``key`` meet in pairs and no group has many times ``most`` rows.
+
+    ``counts`` holds a ``share``-th of the keys, one row each time. Keys with more
+    rows are dealt out as all pairs of parts, by a hash of the column ``by``.
+    """
+    hot = counts.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * share > most)
+    hot = cut(hot.select(key, F.ceil(F.col("n") * share * 2 / most).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows, [key]
+    parted = rows.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return parted.select(*rows.columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")), [key, "p", "q"]
+
+
+def runs(columns: list[np.ndarray]) -> np.ndarray:
+    """Number of the run of equal rows that each row is in."""
+    edge = np.zeros(len(columns[0]), bool)
+    edge[:1] = True
+    for v in columns:
+        edge[1:] |= v[1:] != v[:-1]
+    return np.cumsum(edge) - 1
+
+
+def flatten(parent: np.ndarray) -> None:
+    """Let every node name its root."""
+    while True:
+        up = parent[parent]
+        if np.array_equal(up, parent):
+            return
+        parent[:] = up
+
+
+def root(parent: np.ndarray, k: int) -> int:
+    while (up := int(parent[k])) != k:
+        k = up
+    return k
+
+
+#: Shares of all rows from which a key is dealt to several tasks, at most that many keys, and the number of tasks.
+HOT_KEYS, HOT_PARTS = 1000, 64
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str, salt: str, n: str = "n") -> DataFrame:
+    """Inner join on ``key``, of which ``small`` has one row each, with the number of its rows in ``large`` as ``n``.
+
+    Keys with over a thousandth of all rows, a thousand at most, are dealt to several tasks by the column ``salt``.
+    """
+    small = cut(small)
+    hot = small.where(F.col(n) * HOT_KEYS > (small.agg(F.sum(n)).first()[0] or 0)).select(key, F.lit(HOT_PARTS).alias("_parts"))
+    many = F.coalesce("_parts", F.lit(1))
+    dealt = large.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(salt), many).cast("int")).drop("_parts")
+    copies = small.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts", n)
     return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
@@ -220,11 +269,7 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = N
             return parent
         a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent[:] = up
+        flatten(parent)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -232,7 +277,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Large-star and small-star rounds, each cut with a checkpoint; a round only
     aggregates minima (combined before the shuffle) and joins them back, so a
-    hub is never gathered. Null ends and loops are no links. An empty input
+    hub is never gathered, and deal out the links of hubs. Null ends and loops are no links. An empty input
     gives an empty result. Rounds end when the edge set no longer changes.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
@@ -246,8 +291,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             )
         seen = state
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())

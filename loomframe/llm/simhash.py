@@ -11,6 +11,7 @@ task that finds them, so no group of copies is written out as pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, numbered, own_columns, roots_of, table
+from .common import arrow_groups, arrow_map, connected_components, cut, dealt, flatten, mix, numbered, own_columns, root, roots_of, runs, salted_join, table
 
 SEED = 42
 WIDTH = 3
@@ -195,12 +196,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     0 and link like any other. Repeated rows are kept; an empty table gives none.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    least = prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     groups = connected_components(links(prints, budget))
-    named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     named = cut(named)
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp").select(id_col, "th", "fp", "root", "component_id")
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = salted_join(named, lowest, "root", "fp", "m").select("fp", "n", "root", "component_id")
+    return salted_join(prints, named, "fp", "th").select(id_col, "th", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -226,19 +228,47 @@ def _rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> Da
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
 
 
-#: Words of the shingles and least Jaccard similarity of near copies; bands of two minima that they meet on.
-SIMILAR_WIDTH, SIMILAR, BANDS = 5, 0.8, 8
-_MINIMA = np.random.default_rng(20_240_604).integers(1, 1 << 63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def bands(text: str | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
-    """A key for each band; texts with a shingle similarity of 0.8 share one in over 99.9 % of cases."""
-    h = shingles(text, width)
-    if not len(h):
-        h = np.zeros(1, np.uint64)
-    least = np.array([(h * f).min() for f in _MINIMA])
-    mixed = least[::2] * _MINIMA[0] ^ (least[1::2] * _MINIMA[1] >> np.uint64(7))
-    return (mixed >> np.uint64(3)) << np.uint64(3) | np.arange(BANDS, dtype=np.uint64)
+#: Words of the shingles and least Jaccard similarity of near copies.
+SIMILAR_WIDTH, SIMILAR = 5, 0.8
+#: Bits of their fingerprints, two words, in which texts of that similarity differ at most (in all but one of 200 cases).
+SIMILAR_BUDGET = 30
+#: Share of the pairs at that similarity which may fail to meet, and keys that a subtree should hold at most.
+MISSED, SUBTREE, LEAST_LEVELS = 0.02, 64, 12
+#: Texts of a group of candidates, or keys of a subtree, from which they are dealt out as pairs of parts.
+HOT_TEXTS, HOT_KEYS, HOT_SHARE = 512, 1 << 17, 16
+
+
+def wide_fingerprint(shingle: np.ndarray) -> tuple[int, int]:
+    """128-bit SimHash of different shingles, ties as in the least of them; 0 without any."""
+    out = []
+    for h in (shingle, mix(shingle + np.uint64(SEED))):
+        if not len(h):
+            return 0, 0
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 65536):
+            ones += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        tie = np.unpackbits(h[:1].astype(">u8").view(np.uint8))
+        out.append(int(np.packbits(2 * ones + tie > len(h)).view(">u8")[0]))
+    return out[0], out[1]
+
+
+def tries(n: int, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Masks of the upper levels of each trie, two words, for ``n`` fingerprints.
+
+    A trie takes the bits in an order of its own. Its upper levels are descended with
+    equal bits only and are the shuffle key, so that a subtree holds a bounded number
+    of keys; there are as many tries as let all but ``MISSED`` of the pairs at a
+    similarity of ``least`` share a subtree of one of them.
+    """
+    levels = max(LEAST_LEVELS, (n // SUBTREE).bit_length())
+    same = 1 - math.acos(2 * least / (1 + least)) / math.pi  # chance that a bit is the same at equal sizes
+    count = math.ceil(math.log(MISSED) / math.log1p(-(same**levels)))
+    rng = np.random.default_rng(20_240_604)
+    out = []
+    for _ in range(count):
+        bits = rng.choice(128, levels, replace=False).tolist()
+        out.append(tuple(sum(1 << b % 64 for b in bits if b // 64 == w) for w in (0, 1)))
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -247,60 +277,80 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def similar_links(prints: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """``src, dst``: a spanning forest of the links between the distinct texts in ``prints`` (th, id, bands)."""
-    rows = prints.select("th", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    met = cut(rows.join(shared, "band").groupBy("th").agg(F.collect_list("band").alias("met")))
-    wanted = prints.select("th", "id").join(met, "th")
-    held = wanted.join(texts.toDF("d", "text", "k"), F.col("d").eqNullSafe(F.col("id")) & (F.col("k") == F.col("th"))).select("th", "text", F.explode("met").alias("band"))
+def similar_links(prints: DataFrame, texts: DataFrame, width: int, least: float, hot_texts: int = HOT_TEXTS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``src, dst``: a spanning forest of the links between the distinct texts in ``prints`` (th, id, f0, f1)."""
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    places = [F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(signed(a)), F.col("f1").bitwiseAND(signed(b))) for t, (a, b) in enumerate(tries(prints.count(), least))]
+    placed = lambda rows: rows.select(F.explode(F.array(*places)).alias("place"), "th", "f0", "f1")
+    some = placed(prints.where(F.pmod(F.xxhash64("th"), F.lit(HOT_SHARE)) == 0)).select("place")
+    rows, by = dealt(placed(prints), some, "place", "th", hot_keys, HOT_SHARE)
+
+    def met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        th, f0, f1 = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2, 3))
+        group = runs([batch.column(i).to_numpy() for i in (0, *range(4, batch.num_columns))])
+        order = np.lexsort((f0, group))
+        th, f0, f1, group = th[order], f0[order], f1[order], group[order]
+        parent = np.arange(len(th))
+        for i, j in trie_links(f0, group, 0, SIMILAR_BUDGET, parent):
+            near = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= SIMILAR_BUDGET
+            roots_of(len(th), i[near], j[near], parent)
+        # Texts that meet in several subtrees are one group of candidates, known by its members.
+        hit = np.bincount(parent, minlength=len(th))[parent] > 1
+        name = np.zeros(len(th), np.uint64)
+        np.add.at(name, parent[hit], mix(th[hit]))
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (th[hit], name[parent[hit]])], ["th", "name"])
+
+    members = cut(arrow_groups(rows, by, met, "th bigint, name bigint").distinct())
+    rows, by = dealt(members, members.select("name"), "name", "th", hot_texts)
+    held = rows.groupBy("th").agg(F.collect_list(F.struct(*by)).alias("in")).join(prints, "th")
+    held = held.join(texts.toDF("d", "text", "k").dropDuplicates(["d", "k"]), F.col("d").eqNullSafe(F.col("id")) & (F.col("k") == F.col("th")))
+    held = held.select("th", "f0", "f1", "text", F.inline("in"))
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        th, band, text = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1)
-        sets: dict[int, np.ndarray] = {}
+        th, f0, f1 = batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+        group = runs([batch.column(i).to_numpy() for i in range(4, batch.num_columns)])
         src, dst = [], []
-        edges = np.append(np.flatnonzero(np.diff(band, prepend=band[0] - 1)), len(band)).tolist()
+        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
         for lo, hi in zip(edges, edges[1:]):
+            sets = [np.unique(shingles(x, width)) for x in batch.column(3).slice(lo, hi - lo).to_pylist()]
+            size = np.array([len(x) for x in sets])
             parent = np.arange(hi - lo)
             for i in range(hi - lo - 1):
-                for j in range(i + 1, hi - lo):
-                    if parent[i] == parent[j]:
-                        continue
-                    x, y = int(th[lo + i]), int(th[lo + j])
-                    if x != y:
-                        for v, at in ((x, lo + i), (y, lo + j)):
-                            if v not in sets:
-                                sets[v] = np.unique(shingles(text[at].as_py(), width))
-                        a, b = sets[x], sets[y]
-                        if min(len(a), len(b)) < least * max(len(a), len(b)) or similarity(a, b) < least:
-                            continue
-                        src.append(x)
-                        dst.append(y)
-                    parent[parent == parent[j]] = parent[i]
-                if (parent == parent[0]).all():
+                apart = i + 1 + np.flatnonzero(parent[i + 1 :] != parent[i])
+                if not len(apart) and (parent == parent[0]).all():
                     break
+                bits = np.bitwise_count(f0[lo + apart] ^ f0[lo + i]) + np.bitwise_count(f1[lo + apart] ^ f1[lo + i])
+                for j in apart[(bits <= SIMILAR_BUDGET) & (np.minimum(size[apart], size[i]) >= least * np.maximum(size[apart], size[i]))].tolist():
+                    a, b = sorted((root(parent, i), root(parent, j)))
+                    if a != b and similarity(sets[i], sets[j]) >= least:
+                        parent[b] = a
+                        src.append(th[lo + i])
+                        dst.append(th[lo + j])
+                flatten(parent)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst)], ["src", "dst"])
 
-    return arrow_groups(held, ["band"], verified, "src bigint, dst bigint", 512)
+    return arrow_groups(held, by, verified, "src bigint, dst bigint", 256)
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, least: float = SIMILAR) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, least: float = SIMILAR, hot_texts: int = HOT_TEXTS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """One document of each group of texts linked by a shingle similarity of ``least`` or more, all columns as they are.
 
+    Texts meet by the trie join of 128-bit SimHashes of their different shingles,
+    with as wide a budget as the similarity asks for, and are then compared exactly.
     The smallest id stays, of its rows one. Wordless and null texts are equal.
     """
     texts = own_columns(docs, id_col, text_col).toDF("id", "text").withColumn("th", F.xxhash64("text"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [bands(x, width).view(np.int64).tolist() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["id", "th", "bands"])
+        both = np.array([wide_fingerprint(np.unique(shingles(x, width))) for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "th", "f0", "f1"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    prints = arrow_map(texts, f, f"id {kind}, th bigint, bands array<bigint>", 512)
+    prints = arrow_map(texts, f, f"id {kind}, th bigint, f0 bigint, f1 bigint", 512)
     # Null ids come last.
-    prints = cut(prints.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("s"), F.min("bands").alias("bands")).select("th", "s.id", "bands"))
-    groups = connected_components(similar_links(prints, texts, width, least)).withColumnRenamed("node", "th")
-    named = prints.join(groups, "th", "left").select("id", "th", F.coalesce("component", "th").alias("root"))
+    prints = cut(prints.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("s"), F.min("f0").alias("f0"), F.min("f1").alias("f1")).select("th", "s.id", "f0", "f1"))
+    groups = cut(connected_components(similar_links(prints, texts, width, least, hot_texts, hot_keys))).withColumnRenamed("node", "th")
+    named = prints.select("id", "th").join(groups, "th", "left").select("id", "th", F.coalesce("component", "th").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("s")).select(F.col("s.id").alias("kept_id"), F.col("s.th").alias("kept_th"))
     return _rows_of(docs, kept, id_col, text_col)
 
