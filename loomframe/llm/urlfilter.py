@@ -6,6 +6,10 @@ and so on until nothing passes wrongly. For any key of the universe the level at
 which it is first refused tells whether it is listed. All of it, building too, is
 DataFrame operations; a finished level is one array of longs that goes into the
 plan as a scalar subquery's value.
+
+A cascade holds a bounded number of bits. For longer lists the keys are dealt by
+their hash to as many cascades as it takes, and rows are judged one shard after the
+other, each with the arrays of its own shard only; nothing is ever refused.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, own_columns, table
 
-#: Largest size of one level in bits (128 MB); a longer list is an error, not a silent loss.
-MAX_BITS = 1 << 30
+#: Bits of a level from which keys are dealt to several cascades (16 MB), and words of a level that are put in order together.
+SHARD_BITS, CHUNK = 1 << 27, 1024
 
 #: (host, path, verdict): fixed values of the contract.
 RULES = (
@@ -29,8 +33,9 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: Words of a host label that put the host on the query's list.
-LISTED_WORDS = ("casino", "bets", "pills", "loans", "porn", "cheap", "free")
+#: A page is poor if it has one of these characters in fewer than so many, and a
+#: host is listed if the share of its poor pages is so many times that of all pages.
+POOR_CHARS, POOR_SHARE, TIMES = "[#*$%|]", 50, 2
 
 
 @dataclass
@@ -61,40 +66,63 @@ def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.shiftrightunsigned(a, 2) + i * F.shiftrightunsigned(b, 8), F.lit(bits)) for i in range(hashes)]
 
 
-def build(universe: DataFrame, listed: DataFrame, key: str = "key", max_bits: int = MAX_BITS) -> Cascade:
-    """A cascade over all distinct keys of ``universe``.
+def _bits(n: int, others: int, level: int) -> tuple[int, int]:
+    """Bits and hashes of a level that encodes ``n`` keys and should refuse most of the others."""
+    # The rate at which the next level is about as large as this one's share of the others.
+    rate = min(0.5, max(1e-6, math.sqrt(0.5) * n / max(others, 1))) if level == 0 else 0.5
+    return max(64, 64 * math.ceil(n * 1.4427 * -math.log2(rate) / 64)), max(1, round(-math.log2(rate)))
 
-    Listed keys that are not in the universe are left out, null keys are ignored,
-    repeats count once. An empty list gives a cascade without levels.
-    """
+
+def marked(universe: DataFrame, listed: DataFrame, key: str = "key") -> DataFrame:
+    """Distinct keys of the universe, with ``l`` = 1 if they are listed."""
     every = own_columns(universe, key).where(F.col(key).isNotNull()).select(key, F.lit(1).alias("u"), F.lit(0).alias("l"))
     named = own_columns(listed, key).where(F.col(key).isNotNull()).select(key, F.lit(0).alias("u"), F.lit(1).alias("l"))
-    keys = every.unionAll(named).groupBy(key).agg(F.max("u").alias("u"), F.max("l").alias("l")).where("u = 1").select(key, "l")
-    keys = cut(keys)
+    return every.unionAll(named).groupBy(key).agg(F.max("u").alias("u"), F.max("l").alias("l")).where("u = 1").select(key, "l")
+
+
+def build(keys: DataFrame, key: str = "key") -> Cascade:
+    """A cascade over ``marked`` keys. An empty list gives a cascade without levels."""
     out = Cascade()
     inside, outside = keys.where("l = 1"), keys.where("l = 0")
     while (n := inside.count()) > 0:
-        others = outside.count()
         level = len(out.bits)
-        # The rate at which the next level is about as large as this one's share of the others.
-        rate = min(0.5, max(1e-6, math.sqrt(0.5) * n / max(others, 1))) if level == 0 else 0.5
-        hashes = max(1, round(-math.log2(rate)))
-        bits = max(64, 64 * math.ceil(n * 1.4427 * -math.log2(rate) / 64))
-        if bits > max_bits:
-            raise ValueError(f"level {level} needs {bits} bits for {n} keys; the bound is {max_bits}")
+        bits, hashes = _bits(n, outside.count(), level)
         place = F.explode(F.array(*positions(F.col(key), level, bits, hashes))).alias("p")
         words = inside.select(place).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, int(p % 64))").alias("b"))
-        words = words.groupBy("w").agg(F.bit_or("b").alias("b"))
-        filled = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
-        frame = filled.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("words"))
+        zeros = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+        words = words.unionAll(zeros).groupBy("w").agg(F.bit_or("b").alias("b"))
+        in_order = lambda k, v: F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda x: x[v])
+        chunks = words.groupBy(F.expr(f"w div {CHUNK}").alias("c")).agg(in_order("w", "b").alias("part"))
         out.bits.append(bits)
         out.hashes.append(hashes)
-        out.frames.append(cut(frame))
+        out.frames.append(cut(chunks.agg(F.flatten(in_order("c", "part")).alias("words"))))
         wrong = cut(outside.where(out.passes(F.col(key), level)))
         inside, outside = wrong, inside
     return out
 
 
+def shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+
+
+def member(rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame, name: str = "listed", shard_bits: int = SHARD_BITS) -> DataFrame:
+    """``rows`` with the column ``name``: whether ``key`` is in column ``key`` of ``listed``.
+
+    Exact for the keys in ``universe`` (column ``key``); listed keys that are not in
+    the universe are left out, null keys are in no list, repeats count once.
+    """
+    keys = cut(marked(universe, listed))
+    n, every = keys.agg(F.sum("l"), F.count("*")).first()
+    shards = math.ceil(_bits(n or 0, every - (n or 0), 0)[0] / shard_bits)
+    if shards == 1:
+        return rows.withColumn(name, build(keys).contains(F.col(key)))
+    out = rows.where(F.col(key).isNull()).withColumn(name, F.lit(False))
+    for s in range(shards):
+        cascade = build(keys.where(shard(F.col("key"), shards) == s))
+        out = out.unionAll(rows.where(shard(F.col(key), shards) == s).withColumn(name, cascade.contains(F.col(key))))
+    return out
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or a text without ``://``."""
     at = F.locate("://", url)
@@ -114,7 +142,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", shard_bits: int = SHARD_BITS) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed`` of every page.
 
     ``listed`` has the listed hosts in column ``key``; a host is blocked if it is
@@ -124,35 +152,45 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col
     rows = own_columns(pages, id_col, url_col)
     host, path = url_parts(F.col(url_col))
     rows = rows.select(id_col, host.alias("host"), path.alias("path"))
-    universe = rows.groupBy(F.col("host").alias("key")).count()
-    cascade = build(universe, listed_hosts(universe) if listed is None else listed)
+    rows = member(rows, "host", rows.select(F.col("host").alias("key")), listed, shard_bits=shard_bits)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    inside = cascade.contains(F.col("host"))
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(inside, "block").otherwise("allow")).alias("verdict"), inside.alias("listed"))
+    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def listed_hosts(universe: DataFrame) -> DataFrame:
-    """The hosts of ``universe`` with an advertising word as part of a label."""
-    return universe.select("key").where(F.col("key").rlike(r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"))
+def poor_hosts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``key``: hosts with poor pages, ``TIMES`` as many as their number lets expect or more; null pages are not poor, the empty host is not listed."""
+    rows = own_columns(pages, url_col, html_col)
+    poor = F.coalesce(POOR_SHARE * F.regexp_count(html_col, F.lit(POOR_CHARS)) > F.length(html_col), F.lit(False)).cast("int")
+    hosts = rows.select(url_parts(F.col(url_col))[0].alias("key"), poor.alias("poor"))
+    hosts = cut(hosts.groupBy("key").agg(F.sum("poor").alias("poor"), F.count("*").alias("n")))
+    poor, n = hosts.agg(F.coalesce(F.sum("poor"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return hosts.where(f"poor > 0 and poor * {n}D >= {TIMES} * {poor}D * n and key <> ''").select("key")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    """Hosts are listed by what their pages say."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, poor_hosts(pages))
 
 
-ORACLE = """
+ORACLE = f"""
 WITH parts AS (
-  SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+  SELECT page_id, html, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
 hosts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+pages_of AS (
+  SELECT host, count(*) AS n, count(*) FILTER ({POOR_SHARE} * len(regexp_extract_all(html, '{POOR_CHARS}')) > length(html)) AS poor FROM hosts GROUP BY host),
+poor AS (
+  SELECT host FROM pages_of WHERE host <> '' AND poor > 0
+    AND poor * (SELECT sum(n) FROM pages_of) >= {TIMES} * n * (SELECT sum(poor) FROM pages_of)),
 judged AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    regexp_matches(host, '(^|[.-])(casino|bets|pills|loans|porn|cheap|free)([.-]|$)') AS listed
+    host IN (SELECT host FROM poor) AS listed
   FROM hosts)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
