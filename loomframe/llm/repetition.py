@@ -1,25 +1,29 @@
 """Repetition coverage: characters inside duplicated n-grams and lines, by rolling hashes in numpy.
 
-A batch of texts is one array of bytes. Word hashes come from a prefix sum of
-byte values times powers of an odd base (modulo 2^64), n-gram hashes from a
-rolling sum over word hashes; both are taken together with the text's number, so
-equal hashes mean equal n-grams of the same text. An n-gram can only repeat where
-its first n - 1 words do, so only those places are looked at for longer n.
+A batch of texts is one array of bytes, taken in pieces of a bounded size. Words and
+lines are hashed one by one, n-grams by a rolling hash over word hashes; each is
+taken together with the text's number, so equal hashes mean equal n-grams of the
+same text. An n-gram can only repeat where its first n - 1 words do, so only those
+places are looked at for longer n.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, own_columns, table
+from .common import arrow_map, mix, own_columns, stretches, table, word_hashes
 
-_M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = np.random.default_rng(20_240_601).integers(1, 1 << 63, 256, np.uint64)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes that are looked at together; a piece goes on to the end of a word.
+PIECE = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -32,28 +36,6 @@ LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 LINE_LIMIT = 0.30
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    have, step = 1, base & _M64
-    while have < n:
-        m = min(have, n - have)
-        out[have : have + m] = out[:m] * np.uint64(step)
-        have += m
-        step = step * step & _M64
-    return out
-
-
-def _span_hashes(prefix: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix((prefix[b] - prefix[a]) * inverse[a])
-
-
 def _repeated(h: np.ndarray) -> np.ndarray:
     """Which hashes occur twice or more."""
     if len(h) < 2:
@@ -89,48 +71,50 @@ def measure(texts: list[str | None], lengths: tuple[int, ...] = tuple(LIMITS)) -
     """Counts for each text: words, word characters, symbols, repeated lines and words, and covered characters by n."""
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     n_docs = len(raw)
-    size = np.fromiter(map(len, raw), np.int64, n_docs)
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    doc_end = np.cumsum(size + 1) - 1
-    doc_at = doc_end - size
-    space = _SPACE[data]
-    inside = ~space
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    doc = np.searchsorted(doc_end, a, "right")
-    salt = _mix(np.arange(1, n_docs + 1, dtype=np.uint64) * np.uint64(_BASE))
-    powers = _powers(_BASE, len(data) + 1)
-    inverse = _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * powers[:-1], dtype=np.uint64)))
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    doc_end = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, n_docs)) - 1
+    joined = b"".join(x + b"\n" for x in raw)
+    del raw
     count = lambda which, weight=None: np.bincount(which, weight, n_docs).astype(np.int64)[:n_docs]
-    length = chars[b] - chars[a]
-    out = {"n_words": count(doc), "word_chars": count(doc, length)}
-    out["n_symbols"] = count(np.searchsorted(doc_end, np.flatnonzero(_SYMBOL[data]), "right"))
+    found, symbols, at, n_words, n_chars = [], np.zeros(n_docs, np.int64), 0, 0, 0
+    while at < len(joined):
+        gap = _GAP.search(joined, min(at + PIECE, len(joined) - 1))
+        piece = joined[at : gap.end()]
+        data = np.frombuffer(piece, np.uint8)
+        a, b = stretches(~_SPACE.take(data))
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
+        breaks = np.flatnonzero(data == 0x0A)
+        symbols += count(np.searchsorted(doc_end, at + np.flatnonzero(_SYMBOL.take(data)), "right"))
+        doc = np.searchsorted(doc_end, at + a, "right").astype(np.int32)
+        found.append((doc, word_hashes(piece, a, b), chars[b] - chars[a], at + breaks, n_words + np.searchsorted(a, breaks), n_chars + chars[breaks]))
+        at, n_words, n_chars = gap.end(), n_words + len(a), n_chars + int(chars[-1])
+    doc, word, length, breaks, words_upto, chars_upto = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 6
+    del found
+    salt = mix(np.arange(1, n_docs + 1, dtype=np.uint64) * np.uint64(_BASE))
+    out = {"n_words": count(doc), "word_chars": count(doc, length), "n_symbols": symbols}
 
     # Lines with a word.
-    breaks = np.flatnonzero(data == 0x0A)
-    la = np.concatenate(([0], breaks[:-1] + 1))
-    seen = np.concatenate(([0], np.cumsum(inside)))
-    wordy = seen[breaks] > seen[la]
+    la = np.concatenate(([0], breaks[:-1] + 1)) if len(breaks) else breaks
+    wordy = np.diff(words_upto, prepend=0) > 0
+    lchars = np.diff(chars_upto, prepend=-1)[wordy] - 1
     la, lb = la[wordy], breaks[wordy]
     ldoc = np.searchsorted(doc_end, la, "right")
-    again = _later(_span_hashes(prefix, inverse, la, lb) + salt[ldoc])
+    digest = xxhash.xxh3_64_intdigest
+    again = _later(np.fromiter((digest(joined[x:y]) for x, y in zip(la.tolist(), lb.tolist())), np.uint64, len(la)) + salt[ldoc])
     out["n_dup_lines"] = count(ldoc[again])
-    out["line_chars"] = count(ldoc, chars[lb] - chars[la])
-    out["dup_line_chars"] = count(ldoc[again], (chars[lb] - chars[la])[again])
+    out["line_chars"] = count(ldoc, lchars)
+    out["dup_line_chars"] = count(ldoc[again], lchars[again])
 
-    word = _span_hashes(prefix, inverse, a, b)
     m = len(word)
-    last = np.searchsorted(doc, np.arange(n_docs), "right")[doc] if m else np.zeros(0, np.int64)  # end of the text's words
-    wp = _powers(0xD1342543DE82EF95, m + 1)
-    wi = _powers(pow(0xD1342543DE82EF95, -1, 1 << 64), m + 1)
-    wprefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * wp[:-1], dtype=np.uint64)))
-    starts = np.arange(m)
+    last = np.searchsorted(doc, np.arange(n_docs), "right")  # end of each text's words
+    starts, h, width = np.arange(m), word, 1
     for n in sorted({BASE_N, *lengths}):
-        starts = starts[starts + n <= last[starts]] if m else starts
-        h = _span_hashes(wprefix, wi, starts, starts + n) + salt[doc[starts]]
-        starts = starts[_repeated(h)]
+        while width < n:
+            whole = starts + width < last[doc[starts]]
+            starts, h = starts[whole], h[whole]
+            h = h * np.uint64(_BASE) + word[starts + width]
+            width += 1
+        twice = _repeated(mix(h) + salt[doc[starts]])
+        starts, h = starts[twice], h[twice]
         cover = _covered(starts, n, m)
         if n == BASE_N:
             out["n_repeat_words"] = count(doc[cover])

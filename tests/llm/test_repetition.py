@@ -1,5 +1,7 @@
 import collections
+import random
 import re
+import tracemalloc
 
 import duckdb
 
@@ -30,6 +32,30 @@ def test_counts_against_brute_force(spark, sf_dir):
             assert x[f"chars_{n}"][i] == brute(t, n)[5]
 
 
+def test_pieces_and_confusing_sequences(monkeypatch, spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()] + [None, "", "a\n\nb\n a \na"]
+    whole = repetition.measure(texts)
+    monkeypatch.setattr(repetition, "PIECE", 100)
+    assert all((whole[k] == x).all() for k, x in repetition.measure(texts).items())
+    # Sequences whose polynomials modulo 2^64 are equal for every odd base: as characters of a line and of a word.
+    flip = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ y] for x in flip) for y in (0, 1))
+    rest = " one two three four five six"
+    for text in (f"{a}\n{b}\n{a}", f"{a}{rest}\n{b}{rest}", f"x {a} y z w\nx {b} y z w"):
+        x = repetition.measure([text])
+        assert tuple(int(x[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_5")) == brute(text)
+
+
+def test_memory_of_long_texts():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(1_500_000))
+    tracemalloc.start()
+    repetition.measure([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(text)
+
+
 def test_verdicts(docs):
     prose = " ".join(f"word{i} of{i * 7 % 13} many{i * 5 % 11}" for i in range(60))
     line = "the same line of eight words once more\n"
