@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import calculator, native
+from ..kernel.builder import Builder
 from ..kernel.wire import Limits
-from ..layout import BOOL, FLOAT64, INT32, INT64, TEXT, UINT8, UINT32, Field, Struct, enum, list_of, struct_of
+from ..layout import BOOL, CAP, FLOAT64, INT32, INT64, TEXT, UINT8, UINT32, Field, Struct, enum, list_of, struct_of
 from ..operators import frames as fr
 from ..rpc import tables as rpc
 from . import schema
@@ -528,9 +529,11 @@ def _hosted(c: Column) -> Column:
     return F.struct(F.array(cap).alias("capTable"))
 
 
-def _conversation_log(spark, sf_dir) -> DataFrame:
-    """System and user turns ask, assistant turns answer the turn before."""
+def _conversation_log(spark, sf_dir, lost: bool = False) -> DataFrame:
+    """System and user turns ask, assistant turns answer the turn before; with ``lost``, every third conversation's questions are not in the log."""
     d = table(spark, sf_dir, "conversations")
+    if lost:
+        d = d.where("role = 'assistant' or conv_id % 3 <> 0")
     asks = F.col("role") != "assistant"
     call = F.struct(F.col("turn").cast("long").alias("questionId"), _export(F.lit(0)).alias("target"), F.length("text").cast("long").alias("interfaceId"), (F.col("turn") % 3).cast("int").alias("methodId"))
     answer = F.struct((F.col("turn") - 1).cast("long").alias("answerId"), F.lit("results").alias("which"), _hosted(F.length("text")).alias("results"))
@@ -553,9 +556,9 @@ def rpc_unanswered(spark, sf_dir):
     return rpc.unanswered(rpc.questions(rpc.messages(_conversation_log(spark, sf_dir)))).select("conn_id", "question_id")
 
 
-@query("SELECT CAST(a.conv_id AS VARCHAR) AS conn_id, CAST(a.turn AS BIGINT) AS seq FROM conversations a WHERE a.role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations q WHERE q.conv_id = a.conv_id AND q.turn = a.turn - 1 AND q.role <> 'assistant') AND a.turn > 0")
+@query("SELECT CAST(a.conv_id AS VARCHAR) AS conn_id, CAST(a.turn AS BIGINT) AS seq FROM conversations a WHERE a.role = 'assistant' AND (a.conv_id % 3 = 0 OR NOT EXISTS (SELECT 1 FROM conversations q WHERE q.conv_id = a.conv_id AND q.turn = a.turn - 1 AND q.role <> 'assistant')) AND a.turn > 0")
 def rpc_orphan_returns(spark, sf_dir):
-    return rpc.orphan_returns(rpc.messages(_conversation_log(spark, sf_dir))).where("answer_id >= 0").select("conn_id", "seq")
+    return rpc.orphan_returns(rpc.messages(_conversation_log(spark, sf_dir, lost=True))).where("answer_id >= 0").select("conn_id", "seq")
 
 
 @query("SELECT conn_id, export_id, seq, CAST(sum(delta) OVER (PARTITION BY conn_id, export_id ORDER BY seq) AS BIGINT) AS refcount FROM (SELECT CAST(user_id % 8 AS VARCHAR) AS conn_id, user_id AS export_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS delta FROM events WHERE event_type IN ('signup', 'error'))")
@@ -576,36 +579,74 @@ a AS (SELECT q.conn_id, q.k, q.seq AS q_seq, (SELECT min(v.seq) FROM e v WHERE v
 """
 
 
-@query(_PIPE + "SELECT p.conn_id, p.seq, a.from_seq IS NOT NULL AS resolved, a.from_seq AS export_id FROM (SELECT * FROM e WHERE event_type = 'purchase') p LEFT JOIN a ON a.from_seq IS NOT NULL AND a.conn_id = p.conn_id AND a.k = p.k AND p.seq >= a.from_seq AND (a.to_seq IS NULL OR p.seq < a.to_seq)")
+#: The second capability of an answer is the first one's number and this.
+_SECOND = 1_000_000_000
+
+
+def _cap_tree() -> bytes:
+    """A content with capability 0 in pointer 0, and capability 1 in pointer 0 of the struct in pointer 1."""
+    b = Builder(64)
+    root = b.init_root(0, 2)
+    root.slot(0).set_cap(0)
+    root.slot(1).init_struct(0, 1).slot(0).set_cap(1)
+    return b.frame()
+
+
+@query(_PIPE + f"SELECT p.conn_id, p.seq, a.from_seq IS NOT NULL AS resolved, CASE p.seq % 4 WHEN 1 THEN a.from_seq WHEN 2 THEN a.from_seq + {_SECOND} END AS export_id FROM (SELECT * FROM e WHERE event_type = 'purchase') p LEFT JOIN a ON a.from_seq IS NOT NULL AND a.conn_id = p.conn_id AND a.k = p.k AND p.seq >= a.from_seq AND (a.to_seq IS NULL OR p.seq < a.to_seq)")
 def rpc_pipelined(spark, sf_dir):
+    """Calls on answers whose content holds two capabilities; paths lead to one, the other, a struct, or nowhere."""
     e = table(spark, sf_dir, "events").where("event_type in ('click', 'view', 'error', 'purchase')")
-    k, t = F.col("event_id") % 5, F.col("event_type")
-    promised = F.struct(F.lit("promisedAnswer").alias("which"), F.lit(None).cast("long").alias("importedCap"), F.struct(k.alias("questionId")).alias("promisedAnswer"))
-    plain = F.struct(F.lit("importedCap").alias("which"), F.lit(0).cast("long").alias("importedCap"), F.when(F.lit(False), F.struct(k.alias("questionId"))).alias("promisedAnswer"))
-    call = F.struct(F.when(t == "click", k).otherwise(1000 + F.col("event_id")).alias("questionId"), F.when(t == "click", plain).otherwise(promised).alias("target"))
-    answer = F.struct(k.alias("answerId"), F.lit("results").alias("which"), _hosted(F.col("event_id")).alias("results"))
+    k, t, n = F.col("event_id") % 5, F.col("event_type"), F.col("event_id")
+    ops = lambda *path: F.array(*[F.struct(F.lit("getPointerField").alias("which"), F.lit(i).alias("getPointerField")) for i in path])
+    path = F.when(n % 4 == 1, ops(0)).when(n % 4 == 2, ops(1, 0)).when(n % 4 == 3, ops(1)).otherwise(ops(7))
+    answer_of = F.struct(k.alias("questionId"), path.alias("transform"))
+    target = F.struct(F.when(t == "click", "importedCap").otherwise("promisedAnswer").alias("which"), F.when(t == "click", F.lit(0).cast("long")).alias("importedCap"), F.when(t != "click", answer_of).alias("promisedAnswer"))
+    call = F.struct(F.when(t == "click", k).otherwise(1000 + n).alias("questionId"), target.alias("target"))
+    caps = [F.struct(F.lit("senderHosted").alias("which"), (n + x).alias("senderHosted"), F.lit(255).cast("short").alias("attachedFd")) for x in (0, _SECOND)]
+    payload = F.struct(F.lit(_cap_tree()).alias("content"), F.array(*caps).alias("capTable"))
+    answer = F.struct(k.alias("answerId"), F.lit("results").alias("which"), payload.alias("results"))
     kind = F.when(t.isin("click", "purchase"), "call").when(t == "view", "return").otherwise("finish")
-    log = _log(e, F.col("user_id"), F.col("event_id"), which=kind, call=F.when(t.isin("click", "purchase"), call), finish=F.when(t == "error", F.struct(k.alias("questionId"))), **{"return": F.when(t == "view", answer)})
+    log = _log(e, F.col("user_id"), n, which=kind, call=F.when(t.isin("click", "purchase"), call), finish=F.when(t == "error", F.struct(k.alias("questionId"))), **{"return": F.when(t == "view", answer)})
     msgs = rpc.messages(log)
     return rpc.pipelined(msgs, rpc.questions(msgs)).select("conn_id", "seq", "resolved", "export_id")
 
 
-@query("SELECT join_id, lo = hi AS succeeded, CASE WHEN lo = hi THEN lo END AS export_id FROM (SELECT l_orderkey AS join_id, count(DISTINCT l_linenumber) AS n, min(l_suppkey % 2) AS lo, max(l_suppkey % 2) AS hi FROM lineitem WHERE l_linenumber BETWEEN 1 AND 3 GROUP BY 1) WHERE n = 3")
+#: Part numbers and counts of a user's first seven events, by user number modulo 3: whole joins, a repeated part, and parts that disagree.
+_PARTS = (((0, 3), (1, 3), (2, 3), (0, 3), (1, 3), (2, 3), (0, 3)), ((0, 3), (0, 3), (1, 3), (2, 3), (0, 3), (1, 3), (2, 3)), ((0, 3), (1, 3), (2, 4), (2, 3), (5, 3), (0, 3), (1, 3)))
+#: The join, counted anew after each complete one, that those events belong to; -1: the part fails by itself.
+_ROUNDS = ((0, 0, 0, 1, 1, 1, 2), (0, -1, 0, 0, 1, 1, 1), (0, 0, -1, 0, -1, 1, 1))
+
+
+@query(
+    "WITH p(c, l, part, round) AS (VALUES " + ", ".join(f"({c}, {i + 1}, {_PARTS[c][i][0]}, {_ROUNDS[c][i]})" for c in range(3) for i in range(7)) + """),
+n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+j AS (SELECT user_id AS join_id, event_id AS seq, part, round, event_id % 2 AS e FROM n JOIN p ON c = user_id % 3 AND l = nth),
+r AS (SELECT join_id, round, min(e) AS lo, max(e) AS hi FROM j WHERE round >= 0 GROUP BY 1, 2 HAVING count(*) = 3)
+SELECT join_id, seq, part AS part_num, coalesce(lo = hi, FALSE) AS succeeded, CASE WHEN lo = hi AND part = 0 THEN lo END AS export_id
+FROM j LEFT JOIN r USING (join_id, round) WHERE round = -1 OR lo IS NOT NULL"""
+)
 def rpc_join_complete(spark, sf_dir):
-    key = F.struct(F.col("l_orderkey").alias("joinId"), F.lit(3).alias("partCount"), (F.col("l_linenumber") - 1).alias("partNum"))
-    join = F.struct(F.col("l_linenumber").cast("long").alias("questionId"), _export(F.col("l_suppkey") % 2).alias("target"), key.alias("keyPart"))
-    log = _log(table(spark, sf_dir, "lineitem"), F.lit("c"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), which=F.lit("join"), join=join)
-    parts = rpc.messages(log).select("conn_id", "join_id", "part_num", "part_count", F.col("target_export").alias("export_id"))
-    return rpc.join_results(parts).select("join_id", "succeeded", "export_id")
+    """Joins of three parts, some with repeated parts or other counts, one after the other under the same number."""
+    e = table(spark, sf_dir, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("nth <= 7")
+    at = F.get(F.get(F.lit([[list(x) for x in c] for c in _PARTS]), (F.col("user_id") % 3).cast("int")), F.col("nth") - 1)
+    key = F.struct(F.col("user_id").alias("joinId"), F.get(at, F.lit(1)).alias("partCount"), F.get(at, F.lit(0)).alias("partNum"))
+    join = F.struct(F.col("event_id").alias("questionId"), _export(F.col("event_id") % 2).alias("target"), key.alias("keyPart"))
+    log = _log(e, F.lit("c"), F.col("event_id"), which=F.lit("join"), join=join)
+    parts = rpc.messages(log).select("conn_id", "join_id", "seq", "part_num", "part_count", F.col("target_export").alias("export_id"))
+    return rpc.join_results(parts).select("join_id", "seq", "part_num", "succeeded", "export_id")
 
 
 def _hand_off_log(spark, sf_dir) -> DataFrame:
-    """Signups provide, purchases accept, under the user's number."""
-    e = table(spark, sf_dir, "events").where("event_type in ('signup', 'purchase')")
-    up = F.col("event_type") == "signup"
+    """Signups provide, purchases accept, under the user's number; errors lift the embargo of the provision before them."""
+    e = table(spark, sf_dir, "events").where("event_type in ('signup', 'purchase', 'error')")
+    kind = F.col("event_type")
+    before = F.max(F.when(kind == "signup", F.col("event_id"))).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("provided", F.coalesce(before, F.lit(0)))
     offer = F.struct(F.col("event_id").alias("questionId"), _export(F.lit(0)).alias("target"), F.struct(F.col("user_id").alias("nonce")).alias("recipient"))
     take = F.struct(F.col("event_id").alias("questionId"), F.struct(F.col("user_id").alias("nonce")).alias("provision"), (F.col("event_id") % 2 == 0).alias("embargo"))
-    return _log(e, F.col("user_id") % 4, F.col("event_id"), which=F.when(up, "provide").otherwise("accept"), provide=F.when(up, offer), accept=F.when(~up, take))
+    lift = F.struct(_export(F.lit(0)).alias("target"), F.struct(F.lit("provide").alias("which"), F.col("provided").alias("provide")).alias("context"))
+    which = F.when(kind == "signup", "provide").when(kind == "purchase", "accept").otherwise("disembargo")
+    return _log(e, F.col("user_id") % 4, F.col("event_id"), which=which, provide=F.when(kind == "signup", offer), accept=F.when(kind == "purchase", take), disembargo=F.when(kind == "error", lift))
 
 
 @query("SELECT user_id AS nonce, event_id AS accept_seq, CASE WHEN before = 'signup' THEN before_id END AS provide_seq FROM (SELECT *, lag(event_type) OVER w AS before, lag(event_id) OVER w AS before_id FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type = 'purchase'")
@@ -620,9 +661,16 @@ def rpc_unclaimed(spark, sf_dir):
     return rpc.unclaimed(msgs.where("kind = 'provide'"), msgs.where("kind = 'accept'")).select("nonce", "provide_seq")
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS question_id, user_id AS nonce FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0")
+@query("""
+WITH e AS (
+  SELECT user_id, event_id, event_type, lag(event_type) OVER w AS before, lag(event_id) OVER w AS provided FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+lifts AS (
+  SELECT user_id, event_id, event_type, max(event_id) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS provided FROM events WHERE event_type IN ('signup', 'error'))
+SELECT event_id AS question_id, user_id AS nonce FROM e WHERE event_type = 'purchase' AND event_id % 2 = 0 AND before = 'signup'
+  AND NOT EXISTS (SELECT 1 FROM lifts l WHERE l.event_type = 'error' AND l.user_id = e.user_id AND l.provided = e.provided AND l.event_id > e.event_id)
+""")
 def rpc_embargoed(spark, sf_dir):
-    return rpc.embargoed(rpc.messages(_hand_off_log(spark, sf_dir))).select("question_id", "nonce")
+    return rpc.embargoed(rpc.messages(_hand_off_log(spark, sf_dir)).withColumn("vat_id", F.lit("v"))).select("question_id", "nonce")
 
 
 def _introduction_log(spark, sf_dir) -> DataFrame:
@@ -655,9 +703,9 @@ def rpc_disembargo_echo(spark, sf_dir):
     return rpc.echoes(rpc.messages(log))
 
 
-@query("SELECT event_id AS seq, CASE WHEN lag(event_id, 16) OVER (ORDER BY event_id) IS NULL THEN TRUE ELSE lag(event_id + (event_id * 7) % 40, 16) OVER (ORDER BY event_id) <= event_id END AS fits FROM events")
+@query("SELECT event_id AS seq, CASE WHEN lag(event_id, 16) OVER w IS NULL THEN TRUE ELSE lag(event_id + (event_id * 7) % 4000, 16) OVER w <= event_id END AS fits FROM events WINDOW w AS (PARTITION BY user_id % 64 ORDER BY event_id)")
 def rpc_stream_window(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.lit("c").alias("conn_id"), F.col("event_id").alias("send_seq"), (F.col("event_id") + (F.col("event_id") * 7) % 40).alias("return_seq"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 64).alias("conn_id"), F.col("event_id").alias("send_seq"), (F.col("event_id") + (F.col("event_id") * 7) % 4000).alias("return_seq"))
     return rpc.stream_window(e).select(F.col("send_seq").alias("seq"), "fits")
 
 
@@ -716,6 +764,62 @@ def stream_equals_batch_rpc(spark, sf_dir):
     return _sent_counts(spark.table(name))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS conn_id, event_id AS seq, 'resolve' AS kind FROM events WHERE event_type = 'error'")
+def rpc_unimplemented(spark, sf_dir):
+    """Errors resolve a promise, which a server of this level sends back; views disembargo, which it does not."""
+    bad = F.col("event_type") == "error"
+    context = F.struct(F.lit("senderLoopback").alias("which"), F.col("event_id").alias("senderLoopback"))
+    loop = F.struct(_export(F.lit(0)).alias("target"), context.alias("context"))
+    log = _log(table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_id"), which=F.when(bad, "resolve").otherwise("disembargo"), resolve=F.when(bad, F.struct(F.col("event_id").alias("promiseId"), F.lit("exception").alias("which"), F.struct(F.col("props").alias("reason")).alias("exception"))), disembargo=F.when(~bad, loop))
+    return rpc.unimplemented(rpc.messages(log))
+
+
+@query("SELECT CAST(q.conv_id AS VARCHAR) AS conn_id, q.turn AS question_id, CAST(coalesce(length(a.text), -1) AS BIGINT) AS cap_id FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role <> 'assistant'")
+def rpc_answer_cap(spark, sf_dir):
+    return rpc.answer_cap(rpc.questions(rpc.messages(_conversation_log(spark, sf_dir))))
+
+
+@query("SELECT CAST(user_id % 16 AS VARCHAR) AS conn_id, min(event_id) AS question_id FROM events WHERE event_id % 10 = 0 OR event_type = 'error' GROUP BY 1")
+def rpc_first_failure(spark, sf_dir):
+    """Each event is a call and, but for every tenth, its return; errors return an exception."""
+    e = table(spark, sf_dir, "events").withColumn("answer", F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    bad, n = F.col("event_type") == "error", F.col("event_id")
+    call = F.struct(n.alias("questionId"), _export(F.lit(0)).alias("target"))
+    answer = F.struct(n.alias("answerId"), F.when(bad, "exception").otherwise("results").alias("which"), F.when(bad, F.struct(F.col("props").alias("reason"))).alias("exception"), F.when(~bad, _hosted(n)).alias("results"))
+    log = _log(e, F.col("user_id") % 16, n * 2 + F.col("answer").cast("int"), which=F.when(F.col("answer"), "return").otherwise("call"), call=F.when(~F.col("answer"), call), **{"return": F.when(F.col("answer"), answer)})
+    return rpc.first_failure(rpc.questions(rpc.messages(log)))
+
+
+@query("SELECT user_id AS id, list(event_type = 'click' ORDER BY event_id) AS flags FROM events GROUP BY 1")
+def list_bool_events(spark, sf_dir):
+    """Lists of single bits."""
+    s = Struct("Flags", 1, 1, (Field("id", INT64, 0), Field("flags", list_of(BOOL), 0)))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") == "click").alias("f")))), lambda x: x["f"])
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(in_order.alias("flags"))
+    return fr.decode(fr.encode(rows, s), s)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey * 3 AS BIGINT) AS cap FROM nation")
+def capability_pointers(spark, sf_dir):
+    """Capability pointers keep their number."""
+    s = Struct("Holder", 1, 1, (Field("id", INT64, 0), Field("cap", CAP, 0)))
+    n = F.col("n_nationkey").cast("long")
+    rows = table(spark, sf_dir, "nation").select(n.alias("id"), F.struct((n * 3).alias("cap_index")).alias("cap"))
+    return fr.decode(fr.encode(rows, s), s).select("id", F.col("cap.cap_index").alias("cap"))
+
+
+@query("SELECT * FROM (VALUES ('nodes', 9), ('file', 1), ('struct', 6), ('enum', 1), ('interface', 1)) t(what, n)")
+def catalog_summary(spark, sf_dir):
+    return spark.createDataFrame([(k, v) for k, v in _catalog().summary().items() if k != "files"], "what string, n int")
+
+
+@query("SELECT * FROM (VALUES ('enum', 1), ('group', 1), ('interface', 1), ('struct', 5), ('field', 15)) t(kind, n)")
+def catalog_described(spark, sf_dir):
+    """Lines of the catalog as text, by what they describe; fields are indented."""
+    lines = spark.createDataFrame([(x,) for x in _catalog().describe().splitlines()], "line string")
+    return lines.groupBy(F.when(F.col("line").startswith("  "), "field").otherwise(F.split_part("line", F.lit(" "), F.lit(1))).alias("kind")).agg(F.count("*").cast("int").alias("n"))
+
+
 # What decoding opens up: any relational operator.
 
 
@@ -752,9 +856,9 @@ def relational_semi(spark, sf_dir):
     return _decoded(spark, sf_dir, "customer", "c_custkey").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def relational_anti(spark, sf_dir):
-    return _decoded(spark, sf_dir, "customer", "c_custkey").join(_decoded(spark, sf_dir, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return _decoded(spark, sf_dir, "customer", "c_custkey").join(_decoded(spark, sf_dir, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT event_id, (SELECT max(v.event_id) FROM events v WHERE v.user_id = p.user_id AND v.event_type = 'view' AND v.event_id < p.event_id) AS view_id FROM events p WHERE event_type = 'purchase'")
@@ -769,9 +873,9 @@ def relational_intersect(spark, sf_dir):
     return _decoded(spark, sf_dir, "customer", "c_nationkey").select(F.col("c_nationkey").alias("k")).intersect(_decoded(spark, sf_dir, "supplier", "s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def relational_except(spark, sf_dir):
-    return _decoded(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").alias("k")).exceptAll(_decoded(spark, sf_dir, "supplier", "s_nationkey").distinct())
+    return _decoded(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").alias("k")).exceptAll(_decoded(spark, sf_dir, "supplier", "s_nationkey", "s_acctbal").where("s_acctbal > 5000").select("s_nationkey").distinct())
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -9,11 +9,15 @@ them exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..kernel.wire import Limits
+from ..kernel.reader import Frame
+from ..kernel.wire import CAP, STRUCT, FrameError, Limits
 from ..operators.frames import decode
 
 #: Kinds of messages that ask a question, each with its own id field.
@@ -92,21 +96,42 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.where("outcome = 'results'").select("conn_id", "question_id", F.col("return_seq").alias("from_seq"), F.col("finish_seq").alias("to_seq"), "result", "result_caps")
 
 
+def cap_at(content: Column, path: Column) -> Column:
+    """Number in the capability table of what the path of pointer fields leads to in a content frame; null if that is no capability."""
+
+    def number(data, steps) -> int | None:
+        try:
+            at = Frame.parse(data).root()
+            for k in steps or ():
+                if at.kind != STRUCT:
+                    return None
+                at = at.pointer(k)
+            return at.count if at.kind == CAP else None
+        except FrameError:
+            return None
+
+    @F.arrow_udf("bigint")
+    def run(frames: pa.Array, paths: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else number(x, p) for x, p in zip(frames.to_pylist(), paths.to_pylist())], pa.int64())
+
+    return run(content, path)
+
+
 def pipelined(msgs: DataFrame, asked: DataFrame) -> DataFrame:
     """Calls on promised answers, with the export that they reach, or null.
 
     An interval join on connection and question id: the answer has returned and
-    is not finished when the call comes. Only a path that leads to a capability
-    which the answering side hosts counts; as the content is not decoded here, a
-    path is taken to name the capability of the same number in the table.
+    is not finished when the call comes. The path is followed through the answer's
+    content; only a capability at its end that the answering side hosts counts.
+    Whether the export has been released meanwhile is for ``replay`` to say.
     """
     calls = msgs.where("kind = 'call' and target_kind = 'promisedAnswer'").select("conn_id", "seq", F.col("question_id").alias("call_id"), F.col("target_question").alias("question_id"), "target_path")
     a = answers(asked)
     live = (F.col("c.conn_id") == F.col("a.conn_id")) & (F.col("c.question_id") == F.col("a.question_id")) & (F.col("c.seq") >= F.col("a.from_seq")) & (F.col("a.to_seq").isNull() | (F.col("c.seq") < F.col("a.to_seq")))
     joined = calls.alias("c").join(a.alias("a"), live, "left")
-    slot = F.coalesce(F.try_element_at(F.col("c.target_path"), F.lit(-1)), F.lit(0))
-    cap = F.get(F.col("a.result_caps"), slot.cast("int"))
-    return joined.select("c.conn_id", "c.seq", "c.call_id", "c.question_id", F.col("a.from_seq").isNotNull().alias("resolved"), F.when(cap["which"] == "senderHosted", cap["senderHosted"]).alias("export_id"))
+    joined = joined.select("c.conn_id", "c.seq", "c.call_id", "c.question_id", F.col("a.from_seq").isNotNull().alias("resolved"), "a.result_caps", cap_at(F.col("a.result"), F.col("c.target_path")).alias("at"))
+    cap = F.get("result_caps", F.col("at").cast("int"))
+    return joined.select("conn_id", "seq", "call_id", "question_id", "resolved", F.when(F.col("at").isNotNull() & (cap["which"] == "senderHosted"), cap["senderHosted"]).alias("export_id"))
 
 
 def reference_counts(msgs: DataFrame) -> DataFrame:
@@ -130,17 +155,42 @@ def live_exports(counts: DataFrame) -> DataFrame:
 
 
 def join_results(parts: DataFrame) -> DataFrame:
-    """Complete capability joins from parts (``conn_id, join_id, part_num, part_count, export_id``).
+    """One row for each part of a capability join (``conn_id, join_id, seq, part_num, part_count, export_id``) that is answered.
+
+    ``conn_id, join_id, seq, part_num, succeeded, export_id``. A part fails by itself
+    if it is out of range, has another count than the join's first part, or repeats a
+    part that has come. Once all parts have come they are answered together: with
+    success if all name the same hosted export (null or negative: none), which part 0
+    then gets. The next part begins the join anew; parts of incomplete joins have no row.
 
-    A join is complete once each number from 0 to part_count - 1 has come, all with
-    the same count; it succeeds if all parts name the same hosted export (null or
-    negative: none). Incomplete joins have no row; parts out of range are failures
-    of their own and count nowhere.
+    Parts are gone through in order, one join at a time; only its open parts are held.
     """
-    fair = parts.where("part_count > 0 and part_num >= 0 and part_num < part_count")
-    e = F.coalesce("export_id", F.lit(-1).cast("long"))
-    grouped = fair.groupBy("conn_id", "join_id").agg(F.countDistinct("part_num").alias("parts"), F.min("part_count").alias("part_count"), F.max("part_count").alias("most"), F.min(e).alias("lo"), F.max(e).alias("hi"))
-    return grouped.where("parts = part_count and part_count = most").select("conn_id", "join_id", "part_count", ((F.col("lo") == F.col("hi")) & (F.col("lo") >= 0)).alias("succeeded"), F.when((F.col("lo") == F.col("hi")) & (F.col("lo") >= 0), F.col("lo")).alias("export_id"))
+    kinds = parts.schema
+    shape = f"conn_id {kinds['conn_id'].dataType.simpleString()}, join_id bigint, seq bigint, part_num int, succeeded boolean, export_id bigint"
+    rows = parts.select("conn_id", F.col("join_id").cast("long"), F.col("seq").cast("long"), F.col("part_num").cast("int"), F.col("part_count").cast("int"), F.coalesce("export_id", F.lit(-1)).cast("long").alias("export_id"))
+    rows = rows.repartition("conn_id", "join_id").sortWithinPartitions("conn_id", "join_id", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count, open_ = None, 0, {}
+        for batch in batches:
+            out = []
+            for conn, join, seq, part, many, export in zip(*(c.to_pylist() for c in batch.columns)):
+                if (conn, join) != key:
+                    key, open_ = (conn, join), {}
+                if part is None or many is None or not 0 <= part < many or open_ and (many != count or part in open_):
+                    out.append((conn, join, seq, part, False, None))
+                    continue
+                count = many
+                open_[part] = (seq, export)
+                if len(open_) == many:
+                    exports = {e for _, e in open_.values()}
+                    same = len(exports) == 1 and min(exports) >= 0
+                    out += [(conn, join, s, k, same, e if same and k == 0 else None) for k, (s, e) in sorted(open_.items())]
+                    open_ = {}
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["conn_id", "join_id", "seq", "part_num", "succeeded", "export_id"])
+
+    return rows.mapInArrow(fold, shape)
 
 
 def claims(provides: DataFrame, accepts: DataFrame, scope: str = "vat_id") -> DataFrame:
@@ -184,12 +234,22 @@ def pending_introductions(intro: DataFrame, msgs: DataFrame) -> DataFrame:
     return i.join(g, (F.col("i.conn_id") == F.col("g.conn_id")) & (F.col("i.vine_id") == F.col("g.vine_id")) & (F.col("g.gone_seq") > F.col("i.seq")), "left_anti")
 
 
-def embargoed(msgs: DataFrame) -> DataFrame:
-    """Accepts under embargo that no disembargo of their provision has lifted."""
-    provided = msgs.where("kind = 'provide'").select("nonce", F.col("question_id").alias("context_id"), F.col("conn_id").alias("provider"))
-    lifted = msgs.where("kind = 'disembargo' and context = 'provide'").select(F.col("conn_id").alias("provider"), "context_id").distinct()
-    free = provided.join(lifted, ["provider", "context_id"]).select("nonce").distinct()
-    return msgs.where("kind = 'accept' and embargo").select("conn_id", "seq", "question_id", "nonce").join(free, "nonce", "left_anti")
+def embargoed(msgs: DataFrame, scope: str = "vat_id") -> DataFrame:
+    """Accepts that are held under an embargo at the end of the log.
+
+    An accept takes the provision before it, as in ``claims``; under an embargo it is
+    held by the provision's connection and question. A disembargo on that connection
+    with that question lifts what is held when it comes; one that comes earlier, or
+    finds nothing held, does nothing, and a later accept under the same question
+    takes the place of the one held. Two shuffles: by nonce, and by what holds.
+    """
+    w = Window.partitionBy(scope, "nonce").orderBy("seq")
+    rows = msgs.where("kind in ('provide', 'accept')").withColumn("b", F.lag(F.struct("kind", "conn_id", "question_id")).over(w))
+    held = rows.where("kind = 'accept' and embargo and b.kind = 'provide'")
+    held = held.select(scope, F.col("b.conn_id").alias("provider"), F.col("b.question_id").alias("provided"), "seq", F.struct("conn_id", "seq", "question_id", "nonce").alias("a"))
+    lifts = msgs.where("kind = 'disembargo' and context = 'provide'").select(scope, F.col("conn_id").alias("provider"), F.col("context_id").alias("provided"), "seq", F.lit(None).cast(held.schema["a"].dataType).alias("a"))
+    last = held.unionAll(lifts).groupBy(scope, "provider", "provided").agg(F.max_by("a", "seq").alias("a"))
+    return last.where("a is not null").select(scope, "a.*")
 
 
 def echoes(msgs: DataFrame) -> DataFrame:
