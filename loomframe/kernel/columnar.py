@@ -118,9 +118,9 @@ class _Reader:
         self.charge(own, np.where(ok, size, 0))
         return ok, np.where(ok, body, 0), np.where(ok, count, 0)
 
-    def many(self, own: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Counts of list elements; lists beyond the limit are marked and count nothing."""
-        over = count > self.limits.elements
+    def many(self, own: np.ndarray, count: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Counts of list elements; too many elements without any width, which no word budget bounds, are marked and count nothing."""
+        over = (count > self.limits.elements) & (width == 0)
         if over.any():
             self.mark(own[over])
             count = np.where(over, 0, count)
@@ -243,20 +243,18 @@ class _Reader:
             p = (tag >> np.uint64(48)).astype(np.int64)
             fits = ((tag & np.uint64(3)) == 0) & (count * (d + p) <= words)
             self.mark(own[ok & ~fits])
-            count = self.many(own, np.where(ok & fits, count, 0))
+            count = self.many(own, np.where(ok & fits, count, 0), d + p)
             at, inner_own = np.repeat(at + 1, count) + _within(count) * np.repeat(d + p, count), np.repeat(own, count)
             inner = self.struct(e.struct, inner_own, at, np.repeat(d, count), np.repeat(p, count), depth)
             return _listed(inner, count, shown(ok), e)
         if e.is_pointer:
             ok, at, count = self.lists(own, slot, have, 6, depth)
-            count = self.many(own, count)
             at, inner_own = np.repeat(at, count) + _within(count), np.repeat(own, count)
             every = np.ones(len(at), bool)
             inner = self.pointer(e, inner_own, at, every, every, depth + 1, "" if e.kind == "text" else b"" if e.kind == "data" else () if e.kind == "list" else None)
             return _listed(inner, count, shown(ok), e)
         if e.kind == "bool":
             ok, at, count = self.lists(own, slot, have, 1, depth)
-            count = self.many(own, count)
             bit = _within(count)
             v = (self.buf[8 * np.repeat(at, count) + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
             return _listed(pa.array(v), count, shown(ok), e)
@@ -266,7 +264,6 @@ class _Reader:
             return pa.nulls(len(own), pa.list_(pa.null()))
         size = e.size
         ok, at, count = self.lists(own, slot, have, ESIZE[size], depth)
-        count = self.many(own, count)
         v = self.buf.view(_NP[e.stored])[np.repeat(8 * at // size, count) + _within(count)]
         return _listed(scalars(e, v, np.ones(len(v), bool)), count, shown(ok), e)
 

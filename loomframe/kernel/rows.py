@@ -7,7 +7,7 @@ from decimal import Decimal
 from ..layout import Field, Struct, Type
 from .reader import Frame, Ref
 from .transform import reframe, resegment
-from .wire import BIT, LIST, STRUCT, FrameError, Limits, need
+from .wire import BIT, COMPOSITE, LIST, STRUCT, VOID, FrameError, Limits, need
 
 _UNSIGNED = {"uint64"}
 
@@ -73,7 +73,8 @@ def pointer_value(t: Type, ref: Ref, default=None):
     if t.kind == "struct":
         return struct_value(ref, t.struct)
     need(ref.kind == LIST, "KIND", "no list")
-    need(len(ref) <= ref.frame.limits.elements, "TRAVERSAL", f"{len(ref)} list elements")
+    free = ref.esize == VOID or ref.esize == COMPOSITE and not ref.dwords + ref.pwords
+    need(not free or len(ref) <= ref.frame.limits.elements, "TRAVERSAL", f"{len(ref)} list elements without width")
     return [element_value(t.element, ref, i) for i in range(len(ref))]
 
 

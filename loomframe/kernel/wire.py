@@ -36,7 +36,10 @@ def need(ok: object, code: str, message: str = "") -> None:
 
 @dataclass(frozen=True)
 class Limits:
-    """Defences against hostile frames; the reader charges words against ``words`` once per visit."""
+    """Defences against hostile frames; the reader charges words against ``words`` once per visit.
+
+    ``elements`` bounds lists whose elements have no width; all others are bounded by their words.
+    """
 
     words: int = 8 << 20
     depth: int = 64

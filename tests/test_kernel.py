@@ -12,7 +12,7 @@ from loomframe.kernel import columnar, packing, rows, transform, wire
 from loomframe.kernel.builder import Builder
 from loomframe.kernel.reader import Frame, walk
 from loomframe.kernel.wire import FrameError, Limits, Pointer
-from loomframe.layout import INT32, TEXT, UINT32, Field, Struct, list_of
+from loomframe.layout import INT32, TEXT, UINT8, UINT32, Field, Struct, list_of, struct_of
 
 FRAMED = bytes.fromhex(
     "0000000023000000000000000000010001000000570000000800000001000400"
@@ -278,3 +278,16 @@ def test_compile_command(tmp_path, capsys, monkeypatch):
     path.write_bytes(b"junk")
     assert schema.main([str(path)]) == 1
     assert schema.short_name("a/b.x:Person.PhoneNumber") == "Person_PhoneNumber" and schema.constant_name("PhoneNumber_type") == "PHONE_NUMBER_TYPE"
+
+
+def test_lists_are_bounded_by_words_alone():
+    n = (1 << 20) + 5
+    s = Struct("Long", 0, 1, (Field("x", list_of(UINT8), 0),))
+    frames = columnar.encode(pa.array([{"x": [i % 251 for i in range(n)]}], s.arrow()), s)
+    value, errors = columnar.decode(frames, s, mode="PERMISSIVE")
+    assert errors == [None] and len(value[0]["x"]) == n and value[0]["x"][n - 1].as_py() == (n - 1) % 251
+    # Only elements without any width are bounded by number.
+    holder = Struct("Holder", 0, 1, (Field("x", list_of(struct_of(Struct("Nothing", 0, 0, ()))), 0),))
+    b = Builder(64)
+    b.init_root(0, 1).slot(0).init_structs(n, 0, 0)
+    assert columnar.decode(pa.array([b.frame()], pa.binary()), holder, mode="PERMISSIVE")[1][0].code == "TRAVERSAL"
