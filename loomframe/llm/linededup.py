@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, arrow_groups, arrow_map, connected_components, cut, discard, mix, numbered, own_columns, release, roots_of, salted_join, stored, stretches, table, word_hashes
+from .common import BATCH_BYTES, arrow_groups, arrow_map, connected_components, cut, dealt, discard, flatten, mix, numbered, own_columns, release, root, roots_of, runs, salted_join, stored, stretches, table, word_hashes
 
 SIMILARITY = 0.8
 #: Bits in which the SimHashes of linked lines may differ; from 17 on, lines with other words in most places would link.
@@ -81,9 +81,9 @@ def _majority_of(h: np.ndarray) -> int:
 
 
 def simhashes(word: np.ndarray, chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SimHash of each of the ranges of word hashes; join keys, one line after the other, and how many each has."""
+    """SimHash of each of the ranges of word hashes; 32-bit join keys, one line after the other, and how many each has."""
     out = [_simhashes(word, chars, lo[at : at + LINES], hi[at : at + LINES]) for at in range(0, len(lo), LINES)]
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 def _simhashes(word: np.ndarray, chars: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +132,8 @@ def _simhashes(word: np.ndarray, chars: np.ndarray, lo: np.ndarray, hi: np.ndarr
     less = np.stack([lanes[j, own] - ((h[at] >> np.uint64(j)) & np.uint64(0x0101010101010101)) for j in range(8)])
     found.append(mix(_majority(less, size[own] - 1)))
     which = np.concatenate(which)
-    return sim, np.concatenate(found)[np.argsort(which, kind="stable")], np.bincount(which, minlength=lines)
+    found = (np.concatenate(found)[np.argsort(which, kind="stable")] >> np.uint64(32)).astype(np.uint32)
+    return sim, found, np.bincount(which, minlength=lines)
 
 
 def _parts(texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -198,16 +199,33 @@ def _scan(parts: list[tuple[int, int, bytes]], min_words: int, exact_chars: int
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity is ``least`` or more.
 
-    For as many words on both sides, the words that differ in their place bound the
-    distance from above; only where that does not decide it is computed.
+    An alignment of words bounds the distance from above; only where that does not
+    decide it is it computed.
     """
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
-        return True
-    return edit_similarity(a, b, least) >= least
+    return _aligned(a.split(" "), b.split(" "), most) <= most or edit_similarity(a, b, least) >= least
+
+
+#: Words that an alignment passes over at once.
+_STEPS = [(i, s - i) for s in range(1, 9) for i in sorted(range(s + 1), key=lambda i: abs(2 * i - s))]
+
+
+def _aligned(x: list[str], y: list[str], most: int) -> int:
+    """Characters that a greedy alignment of the words replaces: no less than the edit distance; over ``most`` if it is larger."""
+    cost, i, j, m, n = 0, 0, 0, len(x), len(y)
+    size = lambda words: sum(map(len, words)) + len(words)
+    while i < m and j < n:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(((p, q) for p, q in _STEPS if i + p < m and j + q < n and x[i + p] == y[j + q]), (m - i, n - j))
+        cost += max(size(x[i : i + p]), size(y[j : j + q]))
+        i, j = i + p, j + q
+        if cost > most:
+            return cost
+    return cost + max(size(x[i:]), size(y[j:]))
 
 
 def edit_similarity(a: str, b: str, least: float = SIMILARITY) -> float:
@@ -308,23 +326,12 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_
         offsets = pa.py_buffer((16 * np.arange(len(text) + 1, dtype=np.int32)).tobytes())
         id_ = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(ids.tobytes())])
         ends = pa.py_buffer(np.concatenate(([0], np.cumsum(many))).astype(np.int32).tobytes())
-        keys = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(text), [None, ends], children=[pa.array(keys.view(np.int64))])
+        keys = pa.ListArray.from_buffers(pa.list_(pa.int32()), len(text), [None, ends], children=[pa.array(keys.view(np.int32))])
         columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(line, pa.int32()), id_, pa.array(sim.view(np.int64)), keys, pa.array(size, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "dkey", "line", "id", "sim", "keys", "size"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<bigint>, size int", 4096)
-
-
-def _dealt(rows: DataFrame, nodes: DataFrame, hot_rows: int) -> tuple[DataFrame, list[str]]:
-    """``rows`` and what to group them by; lines with a very frequent key are dealt out as all pairs of parts, so that no task gets many times ``hot_rows``."""
-    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SHARE)) == 0).select(F.explode("keys").alias("place"))
-    hot = cut(some.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > hot_rows).select("place", F.ceil(F.col("n") * HOT_SHARE / hot_rows).cast("int").alias("parts")))
-    if hot.isEmpty():
-        return rows, ["place"]
-    parted = rows.join(hot, "place", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("sim"), F.col("parts")).cast("int"))
-    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return parted.select(*rows.columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")), ["place", "p", "q"]
+    return arrow_map(source, f, f"doc_id {kind}, dkey bigint, line int, id binary, sim bigint, keys array<int>, size int", 4096)
 
 
 def _letters(lines: list[str]) -> np.ndarray:
@@ -333,15 +340,12 @@ def _letters(lines: list[str]) -> np.ndarray:
 
 def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys, size)."""
-    rows, by = _dealt(nodes.select("sim", F.explode("keys").alias("place"), "size"), nodes, hot_rows)
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SHARE)) == 0).select(F.explode("keys").alias("place"))
+    rows, by = dealt(nodes.select("sim", F.explode("keys").alias("place"), "size"), some, "place", "sim", hot_rows, HOT_SHARE)
 
     def partners(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sim, size = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-        edge = np.zeros(batch.num_rows, bool)
-        edge[:1] = True
-        for c in [1, *range(3, batch.num_columns)]:
-            edge[1:] |= (v := batch.column(c).to_numpy())[1:] != v[:-1]
-        group = np.cumsum(edge)
+        group = runs([batch.column(c).to_numpy() for c in (1, *range(3, batch.num_columns))])
         at = np.flatnonzero(np.bincount(group)[group] > 1)
         sim, group, size = sim[at], group[at], size[at]
         parent = np.arange(len(at))
@@ -369,7 +373,7 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         place, sim, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(4).to_numpy()
         text = [normalise(x).decode("utf-8", "replace") for x in batch.column(3).to_pylist()]
-        count, parent, none = _letters(text), np.arange(len(text)), np.zeros(0, np.int64)
+        count, parent = _letters(text), np.arange(len(text))
         src, dst = [], []
         for i, j in close_pairs(sim, place, parent, size, least):
             for p in range(0, len(i), 4096):
@@ -381,38 +385,35 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
                 far = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
                 near = far <= (1 - least) * np.maximum(size[x], size[y]) + 1e-6
                 for k, m in zip(x[near].tolist(), y[near].tolist()):
-                    if _root(parent, k) != _root(parent, m) and similar(text[k], text[m], least):
-                        a, b = sorted((_root(parent, k), _root(parent, m)))
+                    if root(parent, k) != root(parent, m) and similar(text[k], text[m], least):
+                        a, b = sorted((root(parent, k), root(parent, m)))
                         parent[b] = a
                         src.append(k)
                         dst.append(m)
-                roots_of(len(parent), none, none, parent)
+                flatten(parent)
         ids = batch.column(2)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (src, dst)], ["src", "dst"])
 
     return arrow_groups(found, ["place"], verified, "src binary, dst binary", 4096)
 
 
-def _root(parent: np.ndarray, k: int) -> int:
-    while (up := int(parent[k])) != k:
-        k = up
-    return k
-
-
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
     lines = stored(lines_of(docs, id_col, text_col, min_words, exact_chars), "lines")
     nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.min("size").alias("size"), F.count("*").alias("n"))
     nodes = stored(nodes, "nodes")
+    # From here on lines need no keys.
+    lines, whole = stored(lines.select("doc_id", "dkey", "line", "id"), "lines"), lines
+    discard(whole)
     release(docs.sparkSession)
     classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least, hot_rows)).withColumnRenamed("node", "id")
     release(docs.sparkSession)
     several = cut(nodes.select("id", "first", "n").join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", "component"))
     linked = several.where("component is not null").select("id", "first", "component")
-    kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    kept = linked.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
     fate = salted_join(linked, kept, "component", "id").select("id", "keep").unionAll(several.where("component is null").select("id", F.col("first").alias("keep")))
     fate = cut(fate)
-    gone = lines.select("doc_id", "dkey", "line", "id").join(fate, "id").where(~F.struct("doc_id", "line", "dkey").eqNullSafe(F.col("keep")))
+    gone = lines.join(fate, "id").where(~F.struct("doc_id", "line", "dkey").eqNullSafe(F.col("keep")))
     gone = cut(gone.groupBy("doc_id", "dkey").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     discard(lines)
     discard(nodes)
