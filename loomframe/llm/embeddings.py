@@ -3,10 +3,12 @@
 A vector is turned by pseudo-random rotations (three rounds of random signs and a
 fast Hadamard transform); the axis it lies closest to, with its sign, is its cell.
 Two rotations make a bucket, and each of ``tables`` tables puts a vector into its
-``probes`` likeliest buckets. Pairs that share a bucket and a label are verified
-by cosine in double precision, in blocks; a pair counts in the first bucket that
-it shares, so sums over buckets are exact. Equal vectors are one row with a
-multiplicity, and links leave a task as sums and a spanning forest, never as pairs.
+``probes`` likeliest buckets. Buckets of one label with the same members are one
+group of candidates, so that vectors are sent and compared once for all of them.
+Pairs of a group are verified by cosine in double precision, in blocks; a pair
+counts in the first group that it shares, so sums over groups are exact. Equal
+vectors are one row with a multiplicity, and links leave a task as sums and a
+spanning forest, never as pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, connected_components, cut, own_columns, roots_of, table
+from .common import arrow_groups, arrow_map, connected_components, cut, own_columns, roots_of, runs, salted_join, table
 
 COSINE = 0.98
 TABLES, PROBES, NEAREST = 5, 4, 4
@@ -89,9 +91,9 @@ def linked(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", ve
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = v.isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
-    keyed = rows.select("id", "label", "vec", F.when(good, F.xxhash64("vec")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "vec")).alias("h2"))
-    reps = keyed.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("v"))
-    reps = cut(reps.select("rep", "label", "mult", "v", "h1", "h2", F.size("v").alias("d")))
+    keyed = rows.select("id", "label", "vec", F.when(good, F.struct("label", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))).alias("key"))
+    reps = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("v"))
+    reps = cut(reps.select("rep", "key", "key.label", "mult", "v", F.size("v").alias("d")))
     id_kind = reps.schema["rep"].dataType.simpleString()
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,31 +109,32 @@ def linked(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", ve
 
     codes = cut(arrow_map(reps.select("rep", "v", "d"), hashed, f"rep {id_kind}, codes array<bigint>", 4096).join(reps.select("rep", "label", "d"), "rep"))
     slots = codes.select("rep", "label", "d", F.explode("codes").alias("code"))
-    counts = slots.groupBy("label", "d", "code").agg(F.count("*").alias("n")).where("n > 1")
-    shared = slots.join(counts, ["label", "d", "code"]).select("rep", "label", "d", "code", F.ceil(F.col("n") / block).cast("int").alias("nb"))
+    # A group of candidates is known by the number of its members and the sum (without carry) of their hashes.
+    counts = slots.groupBy("label", "d", "code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
+    counts = counts.select("label", "d", "code", "n", F.xxhash64("label", "d", "n", "x").alias("name"))
+    shared = slots.join(counts, ["label", "d", "code"]).groupBy("rep", "name").agg(F.max("n").alias("n"))
+    of = shared.groupBy("rep").agg(F.sort_array(F.collect_list("name")).alias("names"), F.collect_list(F.struct("name", F.ceil(F.col("n") / block).cast("int").alias("nb"))).alias("in"))
+    rows_of = cut(of).join(reps.select("rep", "mult", "v", "d"), "rep").select("d", "rep", "mult", "names", "v", F.inline("in"))
     mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    dealt = shared.select("rep", "label", "d", "code", mine.alias("mine"), other)
-    dealt = dealt.select("rep", "label", "d", "code", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine")
-    dealt = dealt.join(codes.select("rep", "codes"), "rep").join(reps.select("rep", "mult", "v"), "rep")
-    dealt = dealt.select("label", "d", "code", "b1", "b2", "mine", "rep", "mult", "codes", "v")
+    dealt = rows_of.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("name", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "d", "rep", "mult", "names", "v")
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = np.column_stack([_rank(batch.column(i)) for i in range(5)])
-        edges = np.flatnonzero(np.concatenate(([True], (np.diff(keys, axis=0) != 0).any(axis=1))))
+        name, b1, b2, mine_all, d_all = (batch.column(i).to_numpy() for i in range(5))
+        group = runs([name, b1, b2])
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.append(edges[1:], batch.num_rows)
-        d_all, code_all, b1, b2, mine_all = (batch.column(i).to_numpy() for i in (1, 2, 3, 4, 5))
-        mult_all = batch.column(7).to_numpy()
+        mult_all = batch.column(6).to_numpy()
         sums = np.zeros(batch.num_rows, np.int64)
         root = np.arange(batch.num_rows)
         for a, b in zip(edges, ends):
             if b - a < 2:
                 continue
             d = int(d_all[a])
-            x = _matrix(batch.column(9).slice(a, b - a), d)
+            x = _matrix(batch.column(8).slice(a, b - a), d)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own = _matrix_int(batch.column(8).slice(a, b - a))
+            own = _padded(batch.column(7).slice(a, b - a))
             mine, mult = mine_all[a:b], mult_all[a:b]
             first = np.flatnonzero(mine == b1[a])
             second = first if b1[a] == b2[a] else np.flatnonzero(mine == b2[a])
@@ -144,37 +147,38 @@ def linked(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", ve
                     i, j = i[i < j], j[i < j]
                 for s in range(0, len(i), 1 << 15):
                     p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-                    ok = _first_shared(own[p], own[q]) == code_all[a]
+                    ok = _first_shared(own[p], own[q]) == name[a]
                     p, q = p[ok], q[ok]
                     np.add.at(sums, a + p, mult[q])
                     np.add.at(sums, a + q, mult[p])
                     parent = roots_of(b - a, p, q, parent)
             root[a:b] = parent + a
         hit = np.flatnonzero(sums > 0)
-        rep = batch.column(6)
+        rep = batch.column(5)
         yield pa.RecordBatch.from_arrays([rep.take(pa.array(hit)), pa.array(sums[hit]), rep.take(pa.array(root[hit]))], ["rep", "n", "root"])
 
-    found = cut(arrow_groups(dealt, ["label", "d", "code", "b1", "b2"], verified, f"rep {id_kind}, n bigint, root {id_kind}", 8192))
+    found = cut(arrow_groups(dealt, ["name", "b1", "b2"], verified, f"rep {id_kind}, n bigint, root {id_kind}", 8192))
     sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
     classes = connected_components(found.select("rep", "root").distinct(), "rep", "root").withColumnRenamed("node", "rep")
-    info = reps.select("rep", F.col("label").alias("_label"), "h1", "h2", "mult").join(sums, "rep", "left").join(classes, "rep", "left")
-    info = info.select("_label", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = keyed.drop("vec").join(info, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("label") == F.col("_label")), "left")
+    info = reps.select("rep", "key", "mult").join(sums, "rep", "left").join(classes, "rep", "left")
+    info = info.select("key", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+    none = F.lit(None).cast(id_kind)
+    out = salted_join(keyed.where("key is not null").select("id", "key"), info, "key", "id", "mult").select("id", "n", "c")
+    out = out.unionAll(keyed.where("key is null").select("id", F.lit(0).cast("long"), none))
     component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _rank(column: pa.Array) -> np.ndarray:
-    """Numbers that are equal where the values are."""
-    return np.unique(column.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-
-
-def _matrix_int(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _padded(column: pa.Array) -> np.ndarray:
+    """A row for each list, filled up with the largest number."""
+    size = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), int(size.max(initial=0))), np.iinfo(np.int64).max)
+    out[np.arange(out.shape[1]) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest code that both rows of a pair hold."""
+    """Smallest name that both rows of a pair hold."""
     out = np.full(len(a), np.iinfo(np.int64).max)
     for k in range(b.shape[1]):
         same = a == b[:, k : k + 1]
