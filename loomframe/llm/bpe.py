@@ -189,16 +189,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every text.
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every text, and the ``carry`` columns after its id.
 
     Null text counts as empty (no tokens); a repeated row gives a repeated row;
     a null id stays null; other columns are not looked at. ``ids=False`` leaves
     the token column out. ``path`` names the tokenizer's file on the executors.
+    Rows stay in the order in which they come.
     """
     path = path or default_tokenizer()
-    source = own_columns(docs, id_col, text_col)
-    kind = source.schema[id_col].dataType.simpleString()
+    source = own_columns(docs, id_col, text_col, *carry)
+    shown = (id_col, *carry)
+    at = [source.columns.index(c) for c in shown]
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         import os
@@ -208,18 +210,19 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         texts = [x or "" for x in batch.column(1).to_pylist()]
         rows = c.encode_batch(texts)
         out = [
-            batch.column(0),
+            *(batch.column(i) for i in at),
             pa.array([len(r) for r in rows], pa.int64()),
             pa.array([hashlib.sha256(",".join(map(c.name_of.__getitem__, r)).encode()).hexdigest() for r in rows], pa.string()),
             pa.array([hashlib.sha256(c.decode(r).encode()).hexdigest() for r in rows], pa.string()),
         ]
-        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        names = [*shown, "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
             out.append(pa.array(rows, pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays(out, names)
 
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in shown)
+    schema += "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return arrow_map(source, f, schema, 64)
 
 

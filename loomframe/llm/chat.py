@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, own_columns, table
+from .common import arrow_map, cut, own_columns, salted_join, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -76,24 +76,35 @@ def paths(messages: DataFrame, tree: str, node: str, parent: str, score: str | N
 
     ``t``, ``leaf`` and ``n`` are tree and messages as text keys (a null tree is a
     tree of its own). A parent that is null or not in the tree makes a root;
-    messages that no root reaches (cycles) are in no path. Null scores count 0.
-    With ``keep`` only the best branches of each tree are chosen.
+    messages that no root reaches (cycles) are in no path: a chain upwards that is
+    as long as its tree has messages leads into a cycle and is left out before any
+    path is spelt out. Null scores count 0. With ``keep`` only the best branches of
+    each tree are chosen.
     """
     m = messages.select(_key(F.col(tree)).alias("t"), _key(F.col(node)).alias("n"), F.when(F.col(parent).isNotNull(), _key(F.col(parent))).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s") if score else F.lit(0.0).alias("s"))
     m = cut(m.groupBy("t", "n").agg(F.min("p").alias("p"), F.max("s").alias("s")))
-    jump = cut(m.where("p is not null").select("t", "n", F.col("p").alias("j")).join(m.select("t", F.col("n").alias("j")), ["t", "j"]).select("t", "n", "j"))
+    in_tree = m.groupBy("t").agg(F.count("*").alias("c"))
+    linked = m.where("p is not null").select("t", "n", F.col("p").alias("j")).join(m.select("t", F.col("n").alias("j")), ["t", "j"])
+    jump = cut(salted_join(linked, in_tree.withColumn("rows", F.col("c")), "t", "n", "rows").select("t", "n", "j", "c"))
     parents = jump.select("t", F.col("j").alias("n")).distinct()
-    found = m.join(parents, ["t", "n"], "left_anti").select("t", F.col("n").alias("leaf"), "n", F.lit(0).cast("long").alias("dist"))
-    size, total = 1, m.count()
-    while size <= total and not jump.isEmpty():
+    leaves = m.join(parents, ["t", "n"], "left_anti").select("t", F.col("n").alias("leaf"))
+    # Links over 1, 2, 4, ... messages, as far as any tree needs them.
+    size, jumps = 1, []
+    while True:
+        links, long = jump.agg(F.count("*"), F.coalesce(F.sum((F.col("c") <= size).cast("long")), F.lit(0))).first()
+        if long:  # more messages above than the tree has
+            leaves = leaves.join(jump.where(F.col("c") <= size).select("t", F.col("n").alias("leaf")), ["t", "leaf"], "left_anti")
+            jump = jump.where(F.col("c") > size)
+        if links == long:
+            break
+        jumps.append((size, jump))
+        jump = cut(jump.join(jump.select("t", F.col("n").alias("j"), F.col("j").alias("jj")), ["t", "j"]).select("t", "n", F.col("jj").alias("j"), "c"))
+        size *= 2
+    found = cut(leaves.select("t", "leaf", F.col("leaf").alias("n"), F.lit(0).cast("long").alias("dist")))
+    for size, jump in jumps:
         # On from the messages found so far, by the distance that all of them cover together.
         further = found.join(jump, ["t", "n"]).select("t", "leaf", F.col("j").alias("n"), (F.col("dist") + size).alias("dist"))
         found = cut(found.unionAll(further))
-        jump = cut(jump.join(jump.select("t", F.col("n").alias("j"), F.col("j").alias("jj")), ["t", "j"]).select("t", "n", F.col("jj").alias("j")))
-        size *= 2
-    if not jump.isEmpty():  # what is left hangs on a cycle
-        endless = jump.select("t", F.col("n").alias("leaf")).distinct()
-        found = found.join(endless, ["t", "leaf"], "left_anti")
     sums = found.join(m.select("t", "n", "s"), ["t", "n"]).groupBy("t", "leaf").agg(F.sum("s").alias("score"))
     ranked = sums.select("t", "leaf", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "leaf")).alias("rank"))
     if keep is not None:

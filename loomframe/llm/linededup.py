@@ -46,6 +46,8 @@ _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 PAIRS = 1 << 19
 #: Keys of a run from which it is gone through key by key.
 LONG_RUN = 512
+#: Lines of a group of candidates from which they are dealt out as pairs of parts.
+HOT_TEXTS = 1024
 #: Lines whose words are sorted together.
 LINES = 1 << 15
 _BLOCK = np.random.default_rng(20_240_603).integers(1, 1 << 63, BLOCKS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -338,7 +340,7 @@ def _letters(lines: list[str]) -> np.ndarray:
     return np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64) for x in lines], np.int32).reshape(-1, 64)
 
 
-def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, hot_rows: int = HOT_ROWS, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``src, dst``: a spanning forest of the links between the distinct lines in ``nodes`` (id, first, sim, keys, size)."""
     some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SHARE)) == 0).select(F.explode("keys").alias("place"))
     rows, by = dealt(nodes.select("sim", F.explode("keys").alias("place"), "size"), some, "place", "sim", hot_rows, HOT_SHARE)
@@ -358,8 +360,9 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
         np.add.at(name, parent[hit], mix(sim[hit] + np.uint64(1)))
         yield pa.RecordBatch.from_arrays([pa.array(sim[hit].view(np.int64)), pa.array(name[parent[hit]].view(np.int64))], ["sim", "place"])
 
-    near = arrow_groups(rows, by, partners, "sim bigint, place bigint")
-    wanted = cut(near.groupBy("sim").agg(F.collect_set("place").alias("places")))
+    near = cut(arrow_groups(rows, by, partners, "sim bigint, place bigint").distinct())
+    near, by = dealt(near, near.select("place"), "place", "sim", hot_texts)
+    wanted = near.groupBy("sim").agg(F.collect_list(F.struct(*by)).alias("places"))
     release(docs.sparkSession)
     candidates = nodes.where("size(keys) > 0").select("id", "sim", "size", "first.*").join(wanted, "sim")
     places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places", "size")).alias("want"))
@@ -368,14 +371,15 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     # The lines themselves are cut out in the JVM; only they go to Python.
     held = held.select(F.split("text", "\n").alias("lines"), "want")
     found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["places"].alias("places"), w["size"].alias("size"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
-    found = found.select(F.explode("places").alias("place"), "sim", "id", "words", "size").dropDuplicates(["place", "id"])
+    found = found.select("sim", "id", "words", "size", F.inline("places")).dropDuplicates([*by, "id"])
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        place, sim, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(4).to_numpy()
-        text = [normalise(x).decode("utf-8", "replace") for x in batch.column(3).to_pylist()]
+        sim, size = batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy()
+        group = runs([batch.column(c).to_numpy() for c in range(4, batch.num_columns)])
+        text = [normalise(x).decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
         count, parent = _letters(text), np.arange(len(text))
         src, dst = [], []
-        for i, j in close_pairs(sim, place, parent, size, least):
+        for i, j in close_pairs(sim, group, parent, size, least):
             for p in range(0, len(i), 4096):
                 x, y = i[p : p + 4096], j[p : p + 4096]
                 apart = parent[x] != parent[y]
@@ -391,13 +395,13 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
                         src.append(k)
                         dst.append(m)
                 flatten(parent)
-        ids = batch.column(2)
+        ids = batch.column(1)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (src, dst)], ["src", "dst"])
 
-    return arrow_groups(found, ["place"], verified, "src binary, dst binary", 4096)
+    return arrow_groups(found, by, verified, "src binary, dst binary", 4096)
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS, hot_rows: int = HOT_ROWS, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``doc_id, dkey, removed``: sorted numbers of the lines to remove, for documents that lose any."""
     lines = stored(lines_of(docs, id_col, text_col, min_words, exact_chars), "lines")
     nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "dkey")).alias("first"), F.min("sim").alias("sim"), F.min("keys").alias("keys"), F.min("size").alias("size"), F.count("*").alias("n"))
@@ -406,7 +410,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines, whole = stored(lines.select("doc_id", "dkey", "line", "id"), "lines"), lines
     discard(whole)
     release(docs.sparkSession)
-    classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least, hot_rows)).withColumnRenamed("node", "id")
+    classes = connected_components(fuzzy_links(nodes, docs, id_col, text_col, least, hot_rows, hot_texts)).withColumnRenamed("node", "id")
     release(docs.sparkSession)
     several = cut(nodes.select("id", "first", "n").join(classes, "id", "left").where("n > 1 or component is not null").select("id", "first", "component"))
     linked = several.where("component is not null").select("id", "first", "component")

@@ -2,9 +2,10 @@
 
 The base patterns decide alone about what they match. Besides, a semi-Markov CRF
 looks for forms that they miss (masked addresses, numbers without a country code,
-access tokens): features of whole candidate segments score each type, and a
-dynamic program over segments of bounded length chooses boundaries and types
-together. The field is trained on sentences from a seeded generator.
+access tokens): features of whole candidate segments score each type, each type
+has a score for following the type before it, and a dynamic program over segments
+of bounded length, with the last type as its state, chooses boundaries and types of
+a stretch together. The field is trained on sentences from a seeded generator.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # Candidate segments and their features.
 
 _TOKEN = re.compile(r"[^\W_]+|\s|[^\w\s]|_")
+_TOKEN_REST = re.compile(r"[^\W_]*")
 _ANCHOR = re.compile(r"[0-9@]+|[\[(](?i:at)[\])]")
 _AT = r"(?:@|\s?[\[(](?i:at)[\])]\s?)"
 _DOT = r"(?:\.|\s?[\[(](?i:dot)[\])]\s?)"
@@ -83,16 +85,21 @@ _MASKED_MAIL = re.compile(r"[\[(](?i:at)[\])]")
 _QUAD = re.compile(rf"([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}})")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[0-9 .()/-]*[0-9])")
 _SHAPE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
+_SINGLE = re.compile(r"(?:\b[0-9]\b\W+){3}")
 _DATE = re.compile(r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}")
-_SECRET = re.compile(r"(?=(?:[a-zA-Z]*[0-9]){4})(?=(?:[0-9]*[a-zA-Z]){4})[A-Za-z0-9]{20,}")
+_SECRET = re.compile(r"(?:[A-Za-z]{2,8}[_-]){0,3}(?=[a-zA-Z]*[0-9])(?=(?:[0-9]*[a-zA-Z]){4})[A-Za-z0-9]{16,}")
+#: Beginnings of the access keys of well-known services: fixed values.
+_KEY = re.compile(r"(?:sk|pk|rk|ghp|gho|ghs|glpat|xoxb|xoxp|key|api)[_-]|AKIA|ASIA|AIza")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _CUES = (
     re.compile(r"(?i)(?:mail|contact|address|write)\W{0,4}(?:\w{1,4}\W{1,3})?$"),
     re.compile(r"(?i)(?:\bip|host|server|address)\W{0,4}(?:\w{1,4}\W{1,3})?$"),
     re.compile(r"(?i)(?:card|visa|credit|account)\W{0,4}(?:\w{1,6}\W{1,3})?$"),
     re.compile(r"(?i)(?:phone|tel|call|mobile|fax)\W{0,4}(?:\w{1,4}\W{1,3})?$"),
-    re.compile(r"(?i)(?:token|secret|key|password|passwd|api)\s?[=:]?\s?[\"']?$"),
+    re.compile(r"(?i)(?:token|secret|key|password|passwd|api|bearer)\s?[=:]?\s?[\"']?$"),
+    re.compile(r"(?i)(?:commit|revision|rev|hash|md5|sha-?[0-9]*|checksum|digest|etag|uuid|id)(?:sum)?\W{0,4}(?:\w{1,4}\W{1,3})?$"),
 )
-N_FEATURES = 24
+N_FEATURES = 30
 
 
 def features(text: str, a: int, b: int) -> list[int] | None:
@@ -126,15 +133,25 @@ def features(text: str, a: int, b: int) -> list[int] | None:
             out.append(13)
         if _DATE.match(s):
             out.append(14)
+        if _SINGLE.search(s):
+            out.append(29)
     if secret:
-        out.append(15 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) else 16)
+        out.append(15 if _HEX.fullmatch(s) else 16)
         if b - a >= 32:
             out.append(17)
+        if _KEY.match(s):
+            out.append(25)
+        if digits < 4:
+            out.append(26)
+        if not _HEX.fullmatch(s) and s != s.lower() and s != s.upper():
+            out.append(27)
+        if b - a in (32, 40, 64, 128) and _HEX.fullmatch(s):
+            out.append(28)
     before = text[max(0, a - 24) : a]
     out += [18 + k for k, cue in enumerate(_CUES) if cue.search(before)]
     near = text[a - 1 : a] + text[b : b + 1]
     if re.search(r"[\w+@]", near) or text[a - 1 : a] in ("-", ".", "/") and a or re.match(r"[.@/-]\w", text[b : b + 2]):
-        out.append(23)
+        out.append(24)
     return out
 
 
@@ -150,7 +167,7 @@ def segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
             continue
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
             y = tokens[j][1]
-            if y - x > MAX_CHARS:
+            if y - x > MAX_CHARS and j > i:  # a single token may be of any length
                 break
             if odd[j] or y - x < 7 or (sums[j + 1] == sums[i] and y - x < 20):
                 continue
@@ -167,54 +184,79 @@ def _scores(w: np.ndarray, found: list) -> np.ndarray:
     return np.array([w[f].sum(axis=0) for *_, f in found]).reshape(len(found), len(KINDS))
 
 
-def _marginals(n: int, found: list, s: np.ndarray) -> tuple[float, np.ndarray]:
-    """log Z, and the probability of each candidate as each kind."""
-    total = np.logaddexp.reduce(s, axis=1) if len(found) else np.zeros(0)
+def _ranked(found: list) -> tuple[int, list]:
+    """Candidates by the rank of their ends among all ends, and the highest rank: other tokens change no score."""
+    rank = {x: k for k, x in enumerate(sorted({x for i, j, *_ in found for x in (i, j)}))}
+    return len(rank) - 1, [(rank[i], rank[j], *rest) for i, j, *rest in found]
+
+
+def _marginals(n: int, found: list, s: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """log Z, the probability of each candidate as each kind, and how often each kind is expected to follow another.
+
+    ``t`` scores a kind (column) after the last one before it (row; the last row: none yet).
+    """
+    kinds = len(KINDS)
     ends: dict[int, list[int]] = {}
     begins: dict[int, list[int]] = {}
     for k, (i, j, *_) in enumerate(found):
         ends.setdefault(j, []).append(k)
         begins.setdefault(i, []).append(k)
-    fwd = [0.0] * (n + 1)
+    fwd = np.full((n + 1, kinds + 1), -np.inf)
+    fwd[0, kinds] = 0.0
     for j in range(1, n + 1):
-        v = fwd[j - 1]
+        fwd[j] = fwd[j - 1]
         for k in ends.get(j, ()):
-            v = np.logaddexp(v, fwd[found[k][0]] + total[k])
-        fwd[j] = v
-    bwd = [0.0] * (n + 1)
+            fwd[j, :kinds] = np.logaddexp(fwd[j, :kinds], np.logaddexp.reduce(fwd[found[k][0]][:, None] + t, axis=0) + s[k])
+    bwd = np.zeros((n + 1, kinds + 1))
     for i in range(n - 1, -1, -1):
-        v = bwd[i + 1]
+        bwd[i] = bwd[i + 1]
         for k in begins.get(i, ()):
-            v = np.logaddexp(v, bwd[found[k][1]] + total[k])
-        bwd[i] = v
-    z = fwd[n]
-    p = np.array([[fwd[i] + bwd[j] - z] for i, j, *_ in found]).reshape(-1, 1) + s if len(found) else s
-    return z, np.exp(p)
+            bwd[i] = np.logaddexp(bwd[i], np.logaddexp.reduce(t + (s[k] + bwd[found[k][1], :kinds])[None, :], axis=1))
+    z = float(np.logaddexp.reduce(fwd[n], axis=0))
+    p, follow = np.zeros((len(found), kinds)), np.zeros_like(t)
+    for k, (i, j, *_) in enumerate(found):
+        each = np.exp(fwd[i][:, None] + t + (s[k] + bwd[j, :kinds])[None, :] - z)
+        p[k] = each.sum(axis=0)
+        follow += each
+    return z, p, follow
 
 
-def best(n: int, found: list, s: np.ndarray) -> list[tuple[int, int]]:
-    """(candidate, kind) of the best segmentation."""
+def best(n: int, found: list, s: np.ndarray, t: np.ndarray) -> list[tuple[int, int]]:
+    """(candidate, kind) of the best segmentation with its kinds."""
+    kinds = len(KINDS)
     ends: dict[int, list[int]] = {}
     for k, (_, j, *_) in enumerate(found):
         ends.setdefault(j, []).append(k)
-    kind = s.argmax(axis=1) if len(found) else []
-    value, back = [0.0] * (n + 1), [-1] * (n + 1)
+    value = np.full((n + 1, kinds + 1), -np.inf)
+    value[0, kinds] = 0.0
+    back: dict[tuple[int, int], tuple[int, int]] = {}  # place and last kind: candidate, kind before it
     for j in range(1, n + 1):
         value[j] = value[j - 1]
         for k in ends.get(j, ()):
-            if (v := value[found[k][0]] + s[k, kind[k]]) > value[j]:
-                value[j], back[j] = v, k
-    out, j = [], n
-    while j:
-        k = back[j]
-        if k >= 0:
-            out.append((k, int(kind[k])))
-            j = found[k][0]
-        else:
+            ways = value[found[k][0]][:, None] + t + s[k][None, :]
+            before, v = ways.argmax(axis=0), ways.max(axis=0)
+            for kind in np.flatnonzero(v > value[j, :kinds]).tolist():
+                value[j, kind] = v[kind]
+                back[j, kind] = k, int(before[kind])
+    out, j, kind = [], n, int(value[n].argmax())
+    while kind != kinds:
+        while (j, kind) not in back:
             j -= 1
+        k, before = back[j, kind]
+        out.append((k, kind))
+        j, kind = found[k][0], before
     return out[::-1]
 
 
+def _observed(found: list, y: np.ndarray) -> np.ndarray:
+    """How often each kind follows another among the true segments."""
+    out, last = np.zeros((len(KINDS) + 1, len(KINDS))), len(KINDS)
+    for k in sorted(np.flatnonzero(y.any(axis=1)).tolist(), key=lambda k: found[k][0]):
+        out[last, kind := int(y[k].argmax())] += 1
+        last = kind
+    return out
+
+
 def _invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A sentence and the (start, end, kind) of its entities."""
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuvz") for _ in range(rng.randint(2, 9)))
@@ -239,18 +281,23 @@ def _invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         if kind == 3:
             a, b, c = num(3), num(3), num(4)
             return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {num(7)}"])
-        n = rng.choice([24, 32, 40, 56, 64])
-        return "".join(rng.choice("0123456789abcdef" if n != 24 else "0123456789abcdefghijkQRSTUVW") for _ in range(n))
+        mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+        return rng.choice([
+            some("0123456789abcdef", rng.choice([24, 32, 40, 56, 64])), some(mixed, rng.choice([20, 24, 32, 40])) + "7", "AKIA" + some(mixed[:26], 11) + "2" + some(mixed[:26] + "0123456789", 4),
+            rng.choice(["sk-", "sk-proj-", "ghp_", "glpat-", "api_"]) + some(mixed, rng.choice([20, 36, 48])) + "4",
+        ])
 
     def noise() -> str:
-        return rng.choice([num(4), f"{num(4)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{num(4)}", f"{num(2)}.{num(2)}", f"{num(1)},{num(3)}.{num(2)}", num(7), num(8), num(10), card(16, False), f"{num(1)}.{num(1)}.{num(2)}", f"{num(2)}/{num(2)}", f"{num(3)}-{num(4)}", "300.412.7.999", f"{num(5)} {num(5)}", f"{num(4)} {num(4)} {num(4)}"])
+        return rng.choice([num(4), f"{num(4)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{num(4)}", f"{num(2)}.{num(2)}", f"{num(1)},{num(3)}.{num(2)}", num(7), num(8), num(10), card(16, False), f"{num(1)}.{num(1)}.{num(2)}", f"{num(2)}/{num(2)}", f"{num(3)}-{num(4)}", "300.412.7.999", f"{num(5)} {num(5)}", f"{num(4)} {num(4)} {num(4)}", *2 * [rng.choice(["commit ", "md5 ", "sha1: ", "sha256 ", "checksum ", "revision ", "hash: ", "etag: "]) + "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))], word() + word() + word() + num(1), " ".join(num(1) for _ in range(rng.randint(7, 11)))])
 
-    cues = (["mail", "contact", "write"], ["ip", "host", "server"], ["card", "visa"], ["phone", "tel.", "call"], ["token =", "secret:", "key ="])
-    text, gold = "", []
+    cues = (["mail", "contact", "write"], ["ip", "host", "server"], ["card", "visa"], ["phone", "tel.", "call"], ["token =", "secret:", "key =", "Bearer"])
+    text, gold, kind = "", [], None
     for _ in range(rng.randint(4, 10)):
         x = rng.random()
         if x < 0.3:
-            kind = rng.randrange(len(KINDS))
+            # Lists repeat a kind, and contact data come together.
+            kind = rng.choice([rng.randrange(len(KINDS)), kind if kind is not None else 0, {0: 3, 3: 0, 1: 4, 4: 1}.get(kind, 2)])
             if rng.random() < (0.9 if kind == 4 else 0.4):
                 text += rng.choice(cues[kind]) + " "
             quote = '"' if kind == 4 and rng.random() < 0.5 else ""
@@ -264,13 +311,13 @@ def _invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 @lru_cache(1)
-def train(sentences: int = 400, rounds: int = 40, seed: int = 11) -> np.ndarray:
-    """Weights (features x kinds) that maximise the conditional likelihood, with a small ridge."""
+def train(sentences: int = 300, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x kinds) and scores of kinds in succession that maximise the conditional likelihood, with a small ridge."""
     rng = random.Random(seed)
     data = []
     for _ in range(sentences):
         text, gold = _invented(rng)
-        starts, found = segments(text, 0, len(text))
+        _, found = segments(text, 0, len(text))
         want = {(a, b): k for a, b, k in gold}
         y = np.zeros((len(found), len(KINDS)))
         for k, (_, _, a, b, _) in enumerate(found):
@@ -280,19 +327,22 @@ def train(sentences: int = 400, rounds: int = 40, seed: int = 11) -> np.ndarray:
             x = np.zeros((len(found), N_FEATURES))
             for k, c in enumerate(found):
                 x[k, c[4]] = 1
-            data.append((len(starts) - 1, found, x, y))
-    w = np.zeros((N_FEATURES, len(KINDS)))
+            n, found = _ranked(found)
+            data.append((n, found, x, y, _observed(found, y)))
+    w = np.zeros((N_FEATURES + len(KINDS) + 1, len(KINDS)))  # below the features: successions
     w[0] = -2
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     for _ in range(rounds):
         for at in range(0, len(data), 50):
             g = -0.01 * w
-            for n, found, x, y in data[at : at + 50]:
-                g = g + x.T @ (y - _marginals(n, found, x @ w)[1])
+            for n, found, x, y, pairs in data[at : at + 50]:
+                _, p, follow = _marginals(n, found, x @ w[:N_FEATURES], w[N_FEATURES:])
+                g[:N_FEATURES] += x.T @ (y - p)
+                g[N_FEATURES:] += pairs - follow
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w
+    return w[:N_FEATURES], w[N_FEATURES:]
 
 
 def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -314,6 +364,10 @@ def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
         high = min(len(text), b + REACH)
         while b < high and not text[b].isspace():
             b += 1
+        # No long token is cut in two.
+        b = _TOKEN_REST.match(text, b).end()
+        while a > 0 and text[a - 1].isalnum() and text[a].isalnum() and (not out or a > out[-1][1]):
+            a -= 1
         if out and a <= out[-1][1]:
             a = out[-1][0]
             out.pop()
@@ -333,21 +387,22 @@ def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return free
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the field finds outside the base spans."""
-    out = set()
+    out, (w, t) = set(), model
     for a, b in windows(text, base):
-        starts, found = segments(text, a, b)
+        _, found = segments(text, a, b)
         if found:
-            out |= {(found[k][2], kind, found[k][3]) for k, kind in best(len(starts) - 1, found, _scores(w, found))}
+            n, found = _ranked(found)
+            out |= {(found[k][2], kind, found[k][3]) for k, kind in best(n, found, _scores(w, found), t)}
     return sorted(out)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of every whole text.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans`` of every whole text.
 
     The counts and the digest are those of the base patterns; ``spans`` has all
-    spans as ``kind:start:end`` in code points. Null and empty texts have none,
+    spans as ``kind:start:end`` in code points, ``n_spans`` of them. Null and empty texts have none,
     repeated rows the same; null ids stay; an empty table gives none.
     """
     source = own_columns(docs, id_col, text_col)
@@ -363,10 +418,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             spans.append(_joined(sorted(base + added)))
             more.append(len(added))
         columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+        total = pa.array([n + sum(c) for n, c in zip(more, counts)], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64()), total], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = source.schema[id_col].dataType.simpleString()
-    return arrow_map(source, f, f"`{id_col}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint", 512)
+    return arrow_map(source, f, f"`{id_col}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint", 512)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

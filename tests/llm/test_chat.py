@@ -49,6 +49,14 @@ def test_paths_against_brute_force(spark):
     assert {(t, tuple(v[i] for i in range(len(v)))) for (t, _), v in got.items()} == want
 
 
+def test_leaves_that_hang_on_cycles_are_not_spelt_out(spark):
+    """One such leaf beside a long chain and many trees: no round may grow its path."""
+    rows = [("a", i, i - 1 if i else None) for i in range(300)] + [("b", 0, 1), ("b", 1, 2), ("b", 2, 0), ("b", 3, 0), ("b", 4, 3), ("b", 10, None), ("b", 11, 10)]
+    rows += [(f"t{i}", k, k - 1 if k else None) for i in range(50) for k in range(3)]
+    got = chat.paths(spark.createDataFrame(rows, "tree string, node int, parent int"), "tree", "node", "parent").collect()
+    assert len(got) == 300 + 2 + 150 and {(r.leaf, r.n) for r in got if r.t == "+b"} == {("+11", "+11"), ("+11", "+10")}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, 1, "user", None), (None, 1, "user", None), (None, None, None, "x"), (3, 0, "assistant", "<|im_end|>"), (3, 0, "assistant", "<|im_end|>")]])
 def test_odd_conversations(spark, rows):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")

@@ -147,7 +147,7 @@ def test_hot_keys_are_dealt_out(docs):
     tail = " ".join(f"word{k}" for k in range(12))
     rows = [(i, f"{'xyz'[i % 3]}{rng.randrange(10**6)} {tail}") for i in range(200)] + [(1000, "something else with many words in a line of its own")]
     want = {(r.doc_id, tuple(r.removed)) for r in linededup.decisions(docs(rows)).collect()}
-    got = {(r.doc_id, tuple(r.removed)) for r in linededup.decisions(docs(rows), hot_rows=64).collect()}
+    got = {(r.doc_id, tuple(r.removed)) for r in linededup.decisions(docs(rows), hot_rows=64, hot_texts=40).collect()}
     assert got == want and len(got) == 199
 
 
