@@ -6,19 +6,22 @@
     spark.readStream.format("frames").load(folder)        # conn_id, seq, frame
 
 A file is one task unless ``indexed`` is set: frames form a chain of lengths, so
-only an index of frame starts (built by one light pass over the lengths) makes a
-file splittable. The folder must be one that every executor can open; frames in a
-store that only Spark reads come in by ``spark.read.format("binaryFile")`` and
-``operators.frames.split_frames``.
+only an index of frame starts makes a file splittable. The writer leaves one beside
+each file, in a hidden file; the driver walks the lengths of other files. Paths are
+local ones or URIs of any store that ``pyarrow.fs`` opens (``hdfs://``, ``s3://``,
+``gs://``, ...), the same for driver and executors; frames in a store that only Spark
+reads come in by ``spark.read.format("binaryFile")`` and ``operators.frames.split_frames``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -29,17 +32,52 @@ STREAM_SCHEMA = "conn_id string, seq bigint, frame binary"
 SUFFIX = ".frames"
 
 
-def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isfile(path):
-        return [path]
-    return sorted(os.path.join(d, n) for d, _, names in os.walk(path) for n in names if not n.startswith((".", "_")))
+#: Bytes after which the index of a file has the start of another frame.
+INDEX_STEP = 1 << 20
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """File system, path in it, and what the paths in it begin with for the reader."""
+    if "://" not in path:
+        return pafs.LocalFileSystem(), os.path.abspath(path), ""
+    store, inner = pafs.FileSystem.from_uri(path)
+    return store, inner, "" if isinstance(store, pafs.LocalFileSystem) else path[: len(path) - len(inner)] if path.endswith(inner) else path.partition("://")[0] + "://"
+
+
+def _files(path: str) -> dict[str, int]:
+    """Files at a path, or under it, and their sizes; hidden ones are left out."""
+    store, inner, head = _store(path)
+    info = store.get_file_info(inner)
+    if info.type == pafs.FileType.File:
+        return {head + inner: info.size}
+    found = store.get_file_info(pafs.FileSelector(inner, allow_not_found=True, recursive=True))
+    return {head + x.path: x.size for x in sorted(found, key=lambda x: x.path) if x.type == pafs.FileType.File and not x.base_name.startswith((".", "_"))}
+
+
+def _open(path: str):
+    store, inner, _ = _store(path)
+    return store.open_input_file(inner)
+
+
+def _index_of(path: str) -> str:
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/.{name}.index"
+
+
+def _index(path: str, size: int) -> dict | None:
+    """What the writer has noted about a file: ``size``, number of ``frames``, ``starts`` of some of them; None if there is nothing, or the file has changed."""
+    store, inner, _ = _store(_index_of(path))
+    if store.get_file_info(inner).type != pafs.FileType.File:
+        return None
+    with store.open_input_file(inner) as f:
+        found = json.loads(f.read())
+    return found if found["size"] == size else None
 
 
 def lengths(f, start: int, end: int | None, max_segments: int) -> Iterator[tuple[int, int]]:
     """(position, bytes) of the frames from ``start`` on, reading only their tables."""
     at = start
-    size = os.fstat(f.fileno()).st_size
+    size = f.size()
     while at + 8 <= size and (end is None or at < end):
         f.seek(at)
         n = int.from_bytes(f.read(4), "little") + 1
@@ -79,26 +117,34 @@ class FrameReader(DataSourceReader):
 
     def partitions(self) -> list[_Part]:
         out = []
-        for path in _files(self.path):
+        for path, size in _files(self.path).items():
             if path not in self.only:
                 continue
-            if not self.split or os.path.getsize(path) <= self.split:
+            if not self.split or size <= self.split:
                 out.append(_Part(path, 0, None))
                 continue
-            with open(path, "rb") as f:
-                start = 0
-                for at, total in lengths(f, 0, None, self.max_segments):
-                    if at + total - start >= self.split:
-                        out.append(_Part(path, start, at + total))
-                        start = at + total
-                if start < os.path.getsize(path):
-                    out.append(_Part(path, start, None))
+            start = 0
+            for at in self._ends(path, size):
+                if at - start >= self.split:
+                    out.append(_Part(path, start, at))
+                    start = at
+            if start < size:
+                out.append(_Part(path, start, None))
         return out or [_Part("", 0, None)]
 
+    def _ends(self, path: str, size: int) -> Iterator[int]:
+        """Places where a frame ends and the next one may begin."""
+        if self.split >= INDEX_STEP and (known := _index(path, size)) is not None:
+            yield from known["starts"]
+            return
+        with _open(path) as f:
+            for at, total in lengths(f, 0, None, self.max_segments):
+                yield at + total
+
     def read(self, part: _Part) -> Iterator[tuple]:
         if not part.path:
             return
-        with open(part.path, "rb") as f:
+        with _open(part.path) as f:
             for at, total in lengths(f, part.start, part.end, self.max_segments):
                 f.seek(at)
                 yield part.path, at, total, f.read(total)
@@ -119,37 +165,52 @@ class FilteringFrameReader(FrameReader):
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, size: int, frames: int, starts: list[int]):
+        self.path, self.index = path, {"size": size, "frames": frames, "starts": starts}
 
 
 class FrameWriter(DataSourceWriter):
     """Writes to hidden files; a commit gives them their names, so a lost task leaves nothing behind."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows) -> _Done:
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"._{uuid.uuid4().hex}")
-        with open(name, "wb") as f:
+        store, folder, _ = _store(self.path)
+        store.create_dir(folder, recursive=True)
+        name = f"{folder}/._{uuid.uuid4().hex}"
+        size = frames = noted = 0
+        starts = []
+        with store.open_output_stream(name) as f:
             for row in rows:
                 if row["frame"] is not None:
+                    if size - noted >= INDEX_STEP:
+                        starts.append(size)
+                        noted = size
                     f.write(row["frame"])
-        return _Done(name)
+                    size, frames = size + len(row["frame"]), frames + 1
+        return _Done(name, size, frames, starts)
+
+    def name(self, m: _Done, name: str) -> None:
+        """Give a file its name, after its index."""
+        store, folder, _ = _store(self.path)
+        with store.open_output_stream(_index_of(f"{folder}/{name}")) as f:
+            f.write(json.dumps(m.index).encode())
+        store.move(m.path, f"{folder}/{name}")
 
     def commit(self, messages: list[_Done | None]) -> None:
         if self.overwrite:
             for old in _files(self.path):
-                os.remove(old)
+                store, inner, _ = _store(old)
+                store.delete_file(inner)
         for k, m in enumerate(m for m in messages if m):
-            folder, name = os.path.split(m.path)
-            os.rename(m.path, os.path.join(folder, f"part-{k:05d}-{name[2:]}{SUFFIX}"))
+            self.name(m, f"part-{k:05d}-{m.path.rpartition('/._')[2]}{SUFFIX}")
 
     def abort(self, messages: list[_Done | None]) -> None:
+        store, _, _ = _store(self.path)
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and store.get_file_info(m.path).type == pafs.FileType.File:
+                store.delete_file(m.path)
 
 
 class FrameStreamWriter(DataSourceStreamWriter):
@@ -161,8 +222,7 @@ class FrameStreamWriter(DataSourceStreamWriter):
 
     def commit(self, messages: list[_Done | None], batch: int) -> None:
         for k, m in enumerate(m for m in messages if m):
-            folder, _ = os.path.split(m.path)
-            os.replace(m.path, os.path.join(folder, f"batch-{batch:08d}-{k:05d}{SUFFIX}"))
+            self.inner.name(m, f"batch-{batch:08d}-{k:05d}{SUFFIX}")
 
     def abort(self, messages: list[_Done | None], batch: int) -> None:
         self.inner.abort(messages)
@@ -176,8 +236,8 @@ class _StreamPart(InputPartition):
 class FrameStreamReader(DataSourceStreamReader):
     """Each file is a connection; a batch takes what whole frames have been appended since the last one.
 
-    The driver only walks the segment tables to find where frames end; executors
-    read the frames, one task for each file of a batch.
+    Where files have no index, the driver walks their segment tables to find where
+    frames end; executors read the frames, one task for each file of a batch.
     """
 
     def __init__(self, options: dict):
@@ -189,9 +249,14 @@ class FrameStreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        for path in _files(self.path):
+        for path, size in _files(self.path).items():
             at, seq = self.known.get(path, (0, 0))
-            with open(path, "rb") as f:
+            if at >= size:
+                continue
+            if (noted := _index(path, size)) is not None:
+                self.known[path] = [size, noted["frames"]]
+                continue
+            with _open(path) as f:
                 for pos, total in lengths(f, at, None, self.max_segments):
                     at, seq = pos + total, seq + 1
             self.known[path] = [at, seq]
@@ -206,7 +271,7 @@ class FrameStreamReader(DataSourceStreamReader):
         return out
 
     def read(self, part: _StreamPart) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
+        with _open(part.path) as f:
             for n, (at, total) in enumerate(lengths(f, part.start, part.end, self.max_segments)):
                 f.seek(at)
                 yield part.path, part.seq + n, f.read(total)

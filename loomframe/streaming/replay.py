@@ -98,11 +98,22 @@ def replay_stream(log: DataFrame, handlers: Handlers | None = None, **args) -> D
 
 
 def replay_batch(log: DataFrame, handlers: Handlers | None = None, **args) -> DataFrame:
-    """The same for a whole log at once, vat by vat."""
-    handlers = handlers or {}
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sent = step(Vat(**args), rows, handlers)
-        return pd.DataFrame([(key[0], *r) for r in sent], columns=["vat_id", "conn_id", "seq", "n", "frame", "error"])
+    """The same for a whole log at once.
 
-    return log.select("vat_id", "conn_id", "seq", "frame").groupBy("vat_id").applyInPandas(one, SENT)
+    Frames come vat by vat in the order of their numbers; a task holds the tables of
+    one vat and a batch of frames, however long the vat's log is.
+    """
+    handlers = handlers or {}
+    ordered = log.select("vat_id", "conn_id", "seq", "frame").repartition("vat_id").sortWithinPartitions("vat_id", "seq")
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, vat = None, None
+        for batch in batches:
+            sent = []
+            for k, rows in batch.groupby("vat_id", sort=False, dropna=False):
+                if vat is None or k != key:
+                    key, vat = k, Vat(**args)
+                sent += [(k, *r) for r in step(vat, rows, handlers)]
+            yield pd.DataFrame(sent, columns=["vat_id", "conn_id", "seq", "n", "frame", "error"])
+
+    return ordered.mapInPandas(play, SENT)

@@ -3,12 +3,13 @@
 import datetime
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomframe import schemas
 from loomframe.functions import calculator, native
-from loomframe.kernel import wire
+from loomframe.kernel import columnar, wire
 from loomframe.kernel.wire import FrameError
 from loomframe.layout import TEXT, UINT32, Field, Struct
 from loomframe.operators import frames as fr
@@ -149,3 +150,29 @@ def test_error_travels():
 
     e = pickle.loads(pickle.dumps(FrameError("KIND", "x")))
     assert e.code == "KIND" and e.message == "x"
+
+
+def test_index_of_written_files(tmp_path, monkeypatch):
+    """The writer notes frame starts, so that neither a split nor a stream walks its files; other and changed files are walked."""
+    from loomframe.sources import frames as source
+
+    monkeypatch.setattr(source, "INDEX_STEP", 500)
+    path = str(tmp_path / "noted")
+    shape = Struct("S", 0, 1, (Field("s", TEXT, 0),))
+    data = [bytes(columnar.encode(pa.array([{"s": "x" * 7 * n}], shape.arrow()), shape)[0].as_py()) for n in range(3)] * 40
+    writer = source.FrameWriter({"path": path}, True)
+    writer.commit([writer.write({"frame": x} for x in data)])
+    (file, size), = source._files(path).items()
+    noted = source._index(file, size)
+    assert noted["frames"] == 120 and len(noted["starts"]) > 5
+    reader = source.FrameReader({"path": path, "indexed": "true", "splitBytes": "1000"})
+    parts = reader.partitions()
+    assert len(parts) > 2 and [x for p in parts for *_, x in reader.read(p)] == data
+    walked = []
+    monkeypatch.setattr(source, "lengths", lambda *a, real=source.lengths: walked.append(a) or real(*a))
+    stream = source.FrameStreamReader({"path": f"file://{path}"})
+    assert list(stream.latestOffset().values()) == [[size, 120]] and not walked
+    with open(file, "ab") as f:
+        f.write(data[0])
+    assert list(stream.latestOffset().values()) == [[size + len(data[0]), 121]] and len(walked) == 1
+    assert len(reader.partitions()) > 2 and len(walked) == 2
