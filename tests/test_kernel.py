@@ -291,3 +291,17 @@ def test_lists_are_bounded_by_words_alone():
     b = Builder(64)
     b.init_root(0, 1).slot(0).init_structs(n, 0, 0)
     assert columnar.decode(pa.array([b.frame()], pa.binary()), holder, mode="PERMISSIVE")[1][0].code == "TRAVERSAL"
+
+
+def test_list_elements_as_functions():
+    from loomframe.kernel import lists
+
+    s = Struct("Rows", 0, 2, (Field("n", list_of(UINT32), 0), Field("t", list_of(TEXT), 1)))
+    frame = columnar.encode(pa.array([{"n": [7, 1 << 31], "t": ["a", "é"]}], s.arrow()), s)[0].as_py()
+    root = Frame.parse(frame).root()
+    n, t = root.pointer(0), root.pointer(1)
+    assert [lists.list_uint32(n, i) for i in range(2)] == [7, 1 << 31] and lists.list_int32(n, 1) == -(1 << 31)
+    assert lists.list_struct(n, 0).number(0, "uint32") == 7 and lists.list_text(t, 1) == "é"
+    assert lists.list_bool(n, 0, True) is True and lists.list_uint16(n, 0, 5) == 5 and lists.list_uint32(n, 9, 3) == 3
+    with pytest.raises(FrameError):
+        lists.list_text(t, 2)

@@ -138,3 +138,23 @@ def test_split_and_replay_streams(spark, tmp_path):
     one = vat.Vat()
     want = [f for x in frames for _, f in one.receive("c", x, HANDLERS)]
     assert [bytes(r.frame) for r in batch] == want and len(want) == 3
+
+
+def test_memory_pair():
+    from loomframe.rpc.transport import memory_pair, serve
+
+    here, there = memory_pair()
+    buffer = bytearray(vat.bootstrap(1))
+    here.send(buffer)
+    buffer[:] = bytes(len(buffer))  # the sender may use its buffer again
+    here.send(vat.call(2, (1, []), ADDER, 0, (2, 0), add))
+    assert (there.pending, here.pending, here.receive()) == (2, 0, None)
+    server = vat.Vat()
+    assert serve(server, {"c": there}, HANDLERS) == 2 and here.pending == 2
+    got = columnar.decode(pa.array([here.receive(), here.receive()], pa.binary()), schemas.MESSAGE)[0].to_pylist()
+    assert [(m["which"], m["return"]["answerId"]) for m in got] == [("return", 1), ("return", 2)] and here.receive() is None
+    there.send(vat.finish(1))
+    there.close()
+    assert here.closed and here.pending == 1 and here.receive() == vat.finish(1)
+    with pytest.raises(FrameError):
+        here.send(b"")
