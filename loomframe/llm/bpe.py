@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
 A text is first split at added tokens (the library does so too). A stretch
-longer than ``leaf`` bytes is halved again and again; all leaves of a batch are
-encoded together, and neighbours are then joined bottom-up. Around each join a
+longer than ``leaf`` bytes is halved again and again; the leaves of a batch are
+encoded in parallel by as many threads as the task has cores (``spark.task.cpus``;
+the library works outside the interpreter's lock), and neighbours are then joined
+bottom-up. Around each join a
 window is encoded again and doubled until both sides agree with it exactly.
 
 Why agreement is enough. (1) Pre-tokens: the library's pattern scans from left
@@ -20,10 +22,12 @@ sequence.
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, own_columns, table
@@ -37,13 +41,13 @@ WINDOW = 64
 class TreeCodec:
     """Encoder and decoder over one tokenizer file of the tokenizers library."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, threads: int = 1):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.leaf, self.window = max(8, leaf), window
+        self.leaf, self.window, self.threads = max(8, leaf), window, threads
         self.rounds = 0
         size = self.tok.get_vocab_size()
         added = self.tok.get_added_tokens_decoder()
@@ -60,10 +64,20 @@ class TreeCodec:
         leaves: list[str] = []
         short: list[str] = []
         plans = [self._plan(x, leaves, short) for x in texts]
+        encoded = self._leaves(leaves)
         # Texts of one leaf need no word numbers, which only joins look at.
-        encoded, plain = self.tok.encode_batch(leaves, add_special_tokens=False), self.tok.encode_batch_fast(short, add_special_tokens=False)
+        plain = self.tok.encode_batch_fast(short, add_special_tokens=False)
         return [plain[p].ids if isinstance(p, int) else self._whole(p, encoded) for p in plans]
 
+    def _leaves(self, leaves: list[str]) -> list:
+        """Encodings of the leaves, by several threads."""
+        encode = lambda part: self.tok.encode_batch(part, add_special_tokens=False)
+        if self.threads < 2 or len(leaves) < 2:
+            return encode(leaves)
+        size = -(-len(leaves) // self.threads)
+        with ThreadPoolExecutor(self.threads) as pool:
+            return [e for part in pool.map(encode, [leaves[at : at + size] for at in range(0, len(leaves), size)]) for e in part]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become U+FFFD, as in the library."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -180,7 +194,8 @@ def _byte_alphabet() -> dict[int, int]:
 
 @lru_cache(2)
 def codec(path: str, leaf: int = LEAF, window: int = WINDOW) -> TreeCodec:
-    return TreeCodec(path, leaf, window)
+    task = TaskContext.get()
+    return TreeCodec(path, leaf, window, task.cpus() if task else 1)
 
 
 def default_tokenizer() -> str:

@@ -34,6 +34,23 @@ def test_unsplit_text(library):
         assert c.encode_batch([text])[0] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_leaves_by_threads(library):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the ", "ing", "x", "\n", "é"]) for _ in range(n)) for n in (3, 4000, 0, 9000)]
+    c = bpe.TreeCodec(bpe.default_tokenizer(), 64, threads=3)
+    assert c.encode_batch(texts) == [library.encode(x, add_special_tokens=False).ids for x in texts] and c.rounds > 100
+
+
+def test_query_against_the_library(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = bpe.op1_bpe(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
 def test_decode_of_any_ids(library):
     rng = random.Random(7)
     c = bpe.codec(bpe.default_tokenizer())

@@ -1,4 +1,8 @@
 import random
+import re
+import struct
+
+import xxhash
 
 from loomframe.llm import mixing
 
@@ -69,3 +73,35 @@ def test_odd_rows(odd, clash):
     assert sorted(map(repr, mixing.assign(clash).collect())) == sorted(map(repr, rows))
     assert mixing.training_order(mixing.assign(clash, carry=("text", "h", "position"))).count() == sum(r.copies for r in rows)
     assert mixing.assign(odd.limit(0)).collect() == [] and all(r.taken == 0 for r in mixing.assign(odd.where("text is null")).collect())
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Sizes, targets and what is taken of each document, spelt out source by source."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    docs = [(r.doc_id, r.source, len(word.findall(r.text or ""))) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    names = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, x, n in docs if x == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    goal, open_, left = {}, set(names), float(sum(total.values()))
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * total[s]}
+        if not over:
+            goal |= share
+            break
+        for s in over:
+            goal[s] = 3.0 * total[s]
+            left -= goal[s]
+        open_ -= over
+    want = {}
+    for s in names:
+        before = 0
+        own = [(xxhash.xxh64_intdigest(struct.pack("<q", d), 42), d, n) for d, x, n in docs if x == s]
+        for _, d, n in sorted(own):
+            copies = sum(before + n / 2 + p * total[s] <= goal[s] for p in range(3)) if n else 0
+            want[d] = (n, total[s], copies * n)
+            before += n
+    got = mixing.op4_mixing(spark, sf_dir).collect()
+    assert {r.doc_id: (r.size, r.source_size, r.taken) for r in got} == want
+    source = {d: s for d, s, _ in docs}
+    assert all(abs(r.target - goal[source[r.doc_id]]) <= 1e-9 * goal[source[r.doc_id]] for r in got)
