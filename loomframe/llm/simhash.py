@@ -25,6 +25,9 @@ from .common import arrow_groups, arrow_map, connected_components, cut, dealt, f
 SEED = 42
 WIDTH = 3
 BUDGET = 2
+#: Texts of a group of candidates, or keys of a subtree, from which they are dealt out
+#: as pairs of parts, and the share of keys that such subtrees are found from.
+HOT_TEXTS, HOT_KEYS, HOT_SHARE = 512, 1 << 17, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Node pairs that are expanded at once.
 PAIRS = 1 << 18
@@ -154,24 +157,30 @@ def _compare(keys, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray, np.
         at = upto
 
 
-def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``src, dst``: a spanning forest of the links between the distinct values of ``fp``."""
+def links(prints: DataFrame, budget: int = BUDGET, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``src, dst``: a spanning forest of the links between the distinct values of ``fp``.
+
+    Blocks that very many fingerprints share are dealt out as pairs of parts.
+    """
     cuts = blocks(budget)
     rotated = []
     for first, bits in cuts:
         key = F.col("fp") if first == 0 else F.shiftleft("fp", first).bitwiseOR(F.shiftrightunsigned("fp", 64 - first))
-        rotated.append(F.struct(F.lit(first).alias("first"), F.shiftrightunsigned(key, 64 - bits).alias("block"), key.alias("key")))
+        block = F.shiftrightunsigned(key, 64 - bits)
+        rotated.append(F.struct(F.xxhash64(F.lit(first), block).alias("place"), F.lit(first).alias("first"), block.alias("block"), key.alias("key")))
     rows = prints.select("fp").distinct().select(F.inline(F.array(*rotated)))
+    some = prints.where(F.pmod(F.xxhash64("fp"), F.lit(HOT_SHARE)) == 0).select("fp").distinct().select(F.inline(F.array(*rotated))).select("place")
+    rows, by = dealt(rows, some, "place", "key", hot_keys, HOT_SHARE)
     bits_of = dict(cuts)
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        first = batch.column(0).to_numpy()
-        block = batch.column(1).to_numpy()
-        keys = batch.column(2).to_numpy().view(np.uint64)
+        first = batch.column(1).to_numpy()
+        keys = batch.column(3).to_numpy().view(np.uint64)
+        group = runs([batch.column(i).to_numpy() for i in (0, 1, 2, *range(4, batch.num_columns))])
         src, dst = [], []
         for start in np.unique(first):
             at = np.flatnonzero(first == start)
-            k, b = keys[at], block[at]
+            k, b = keys[at], group[at]
             order = np.lexsort((k, b))
             k, b = k[order], b[order]
             parent = np.arange(len(k))
@@ -184,7 +193,7 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
             dst.append(back[parent[child]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (src, dst)], ["src", "dst"])
 
-    return arrow_groups(rows, ["first", "block"], f, "src bigint, dst bigint")
+    return arrow_groups(rows, by, f, "src bigint, dst bigint", sort=["first", "block"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -234,8 +243,6 @@ SIMILAR_WIDTH, SIMILAR = 5, 0.8
 SIMILAR_BUDGET = 30
 #: Share of the pairs at that similarity which may fail to meet, and keys that a subtree should hold at most.
 MISSED, SUBTREE, LEAST_LEVELS = 0.02, 64, 12
-#: Texts of a group of candidates, or keys of a subtree, from which they are dealt out as pairs of parts.
-HOT_TEXTS, HOT_KEYS, HOT_SHARE = 512, 1 << 17, 16
 
 
 def wide_fingerprint(shingle: np.ndarray) -> tuple[int, int]:
@@ -303,7 +310,7 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int, least: float,
     members = cut(arrow_groups(rows, by, met, "th bigint, name bigint").distinct())
     rows, by = dealt(members, members.select("name"), "name", "th", hot_texts)
     held = rows.groupBy("th").agg(F.collect_list(F.struct(*by)).alias("in")).join(prints, "th")
-    held = held.join(texts.toDF("d", "text", "k").dropDuplicates(["d", "k"]), F.col("d").eqNullSafe(F.col("id")) & (F.col("k") == F.col("th")))
+    held = held.join(texts.toDF("d", "text", "k"), F.col("d").eqNullSafe(F.col("id")) & (F.col("k") == F.col("th"))).dropDuplicates(["th"])
     held = held.select("th", "f0", "f1", "text", F.inline("in"))
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -66,6 +66,14 @@ def test_query_against_brute_force(spark, sf_dir):
     assert {r.doc_id: r.component_id for r in rows} == components([int(r.fingerprint, 16) for r in rows], [r.doc_id for r in rows])
 
 
+def test_blocks_of_many_fingerprints_are_dealt_out(spark):
+    rng = np.random.default_rng(9)
+    keys = np.unique(np.uint64(7 << 60) ^ (np.uint64(1) << rng.integers(0, 40, 900, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 900, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 900, np.uint64)))
+    prints = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp bigint")
+    found = [{r.node: r.component for r in connected_components(simhash.links(prints, 2, most)).collect()} for most in (simhash.HOT_KEYS, 100)]
+    assert found[0] == found[1] and len(found[0]) > 500
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(500, i) for i in range(501, 560)] + [(None, 3), (7, 7)]
