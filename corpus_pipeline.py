@@ -70,7 +70,9 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are range-sorted by position; it tells the copies of a document apart.
     """
     rows = in_order(docs)
-    return bpe.encode(rows.repartitionByRange("position").sortWithinPartitions("position"), carry=("position",))
+    # As many ranges as the input has splits: encoding takes longer than its bytes tell.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    return bpe.encode(rows.repartitionByRange(parts, "position").sortWithinPartitions("position"), carry=("position",))
 
 
 STAGES = [
