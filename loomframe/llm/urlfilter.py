@@ -109,7 +109,8 @@ def member(rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame, na
     """``rows`` with the column ``name``: whether ``key`` is in column ``key`` of ``listed``.
 
     Exact for the keys in ``universe`` (column ``key``); listed keys that are not in
-    the universe are left out, null keys are in no list, repeats count once.
+    the universe are left out, null keys are in no list, repeats count once. With
+    several shards ``rows`` are read once for each, so they must come out alike.
     """
     keys = cut(marked(universe, listed))
     n, every = keys.agg(F.sum("l"), F.count("*")).first()
