@@ -120,7 +120,7 @@ def member(rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame, na
     out = rows.where(F.col(key).isNull()).withColumn(name, F.lit(False))
     for s in range(shards):
         cascade = build(keys.where(shard(F.col("key"), shards) == s))
-        out = out.unionAll(rows.where(shard(F.col(key), shards) == s).withColumn(name, cascade.contains(F.col(key))))
+        out = out.unionAll(rows.where(F.col(key).isNotNull() & (shard(F.col(key), shards) == s)).withColumn(name, cascade.contains(F.col(key))))
     return out
 
 
