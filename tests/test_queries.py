@@ -38,3 +38,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unpack_cap_at_its_edge(spark, tmp_path):
+    """Texts of 1000 bytes pass, longer ones do not, whatever the end of a word."""
+    texts = [None, "", "a" * 999, "a" * 1000, "é" * 500, "a" * 1001, "é" * 500 + "a", "a" * 1007, "a" * 1008, "a" * 100_000, "\0" * 1000, "\0" * 1001]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.unpack_cap_error(spark, str(tmp_path)).collect() == [(12, 6)]
+    want = duckdb.sql(catalog.ORACLE_SQL["unpack_cap_error"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert want == [(12, 6)]
