@@ -6,8 +6,6 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,32 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import on_path, shared_folder
+
 #: The white space that separates words, as a character class of Java and Python patterns.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in the one that the session names in ``spark.checkpoint.dir``; it goes when the application ends.
-
-    Where that is unset, a temporary one is made on a single machine; a cluster has to name one.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-        _path(spark, sc.getCheckpointDir(), lambda fs, p: fs.deleteOnExit(p))
-    return sc.getCheckpointDir()
-
-
-def _path(spark: SparkSession, path: str, f):
-    """``f`` of the path and its file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return f(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
@@ -60,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``stored`` frame that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _path(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
+        on_path(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
 
 
 def release(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ the order, as a connection does.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,10 +18,13 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..kernel.wire import FrameError, frame_length
 from ..rpc.vat import Handlers, Vat
+from ..shared import on_path, shared_folder
 
 _BLOB = StructType([StructField("state", BinaryType())])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FRAMES = "conn_id string, seq bigint, frame binary, error string"
+#: Rows of a vat's log that are answered together.
+ROWS = 8192
 SENT = "vat_id string, conn_id string, seq bigint, n int, frame binary, error string"
 
 
@@ -84,9 +88,11 @@ class Server(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         vat = pickle.loads(self.vat.get()[0]) if self.vat.exists() else Vat(**self.args)
-        sent = step(vat, pd.concat(list(rows)), self.handlers)
+        log = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for at in range(0, len(log), ROWS):
+            sent = step(vat, log.iloc[at : at + ROWS], self.handlers)
+            yield pd.DataFrame([(key[0], *r) for r in sent], columns=["vat_id", "conn_id", "seq", "n", "frame", "error"])
         self.vat.update((pickle.dumps(vat),))
-        yield pd.DataFrame([(key[0], *r) for r in sent], columns=["vat_id", "conn_id", "seq", "n", "frame", "error"])
 
     def close(self) -> None:
         pass
@@ -97,6 +103,18 @@ def replay_stream(log: DataFrame, handlers: Handlers | None = None, **args) -> D
     return log.groupBy("vat_id").transformWithStateInPandas(Server(handlers, **args), SENT, "Append", "None")
 
 
+def finished(stream: DataFrame) -> DataFrame:
+    """What a stream gives once all input is read; it lies in files of the shared folder, never on the driver."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/finished-{uuid.uuid4().hex}"
+    out, state = f"{path}/out", f"{path}/state"
+    on_path(spark, out, lambda fs, p: fs.mkdirs(p))  # a stream without input writes nothing
+    running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    on_path(spark, state, lambda fs, p: fs.delete(p, True))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def replay_batch(log: DataFrame, handlers: Handlers | None = None, **args) -> DataFrame:
     """The same for a whole log at once.
 

@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows; the others run."""
 
 from decimal import Decimal
+from urllib.parse import urlparse
 
 import duckdb
 import pytest
@@ -47,3 +48,17 @@ def test_unpack_cap_at_its_edge(spark, tmp_path):
     assert catalog.unpack_cap_error(spark, str(tmp_path)).collect() == [(12, 6)]
     want = duckdb.sql(catalog.ORACLE_SQL["unpack_cap_error"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     assert want == [(12, 6)]
+
+
+def test_stream_goes_through_files(spark, sf_dir, tmp_path):
+    """What the stream sends lies in the shared folder, not on the driver; events may be a folder of files, or none at all."""
+    out = catalog.stream_equals_batch_rpc(spark, sf_dir)
+    files = out.inputFiles()
+    folder = urlparse(spark.sparkContext.getCheckpointDir()).path
+    assert files and all(urlparse(f).path.startswith(folder) for f in files)
+    want = sorted(out.collect())
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/several/events.parquet")
+    assert sorted(catalog.stream_equals_batch_rpc(spark, f"{tmp_path}/several").collect()) == want
+    events.where("false").write.parquet(f"{tmp_path}/empty/events.parquet")
+    assert catalog.stream_equals_batch_rpc(spark, f"{tmp_path}/empty").collect() == []
