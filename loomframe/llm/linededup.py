@@ -365,13 +365,18 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     wanted = near.groupBy("sim").agg(F.collect_list(F.struct(*by)).alias("places"))
     release(docs.sparkSession)
     candidates = nodes.where("size(keys) > 0").select("id", "sim", "size", "first.*").join(wanted, "sim")
-    places = candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places", "size")).alias("want"))
+    # Small results are stored step by step: shuffle files of lines, texts and candidates never lie on disk together.
+    places = stored(candidates.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("line", "id", "sim", "places", "size")).alias("want")), "places")
+    release(docs.sparkSession)
     source = own_columns(docs, id_col, text_col).toDF("d", "text").withColumn("k", F.xxhash64("text"))
     held = places.join(source, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("dkey"))).select("text", "want")
     # The lines themselves are cut out in the JVM; only they go to Python.
     held = held.select(F.split("text", "\n").alias("lines"), "want")
     found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["sim"].alias("sim"), w["places"].alias("places"), w["size"].alias("size"), F.get("lines", w["line"]).alias("words")))).alias("w")).select("w.*")
-    found = found.select("sim", "id", "words", "size", F.inline("places")).dropDuplicates([*by, "id"])
+    held = stored(found, "found")
+    discard(places)
+    release(docs.sparkSession)
+    found = held.select("sim", "id", "words", "size", F.inline("places")).dropDuplicates([*by, "id"])
 
     def verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sim, size = batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy()
@@ -398,7 +403,9 @@ def fuzzy_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
         ids = batch.column(1)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (src, dst)], ["src", "dst"])
 
-    return arrow_groups(found, by, verified, "src binary, dst binary", 4096)
+    links = cut(arrow_groups(found, by, verified, "src binary, dst binary", 4096))
+    discard(held)
+    return links
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, exact_chars: int = EXACT_CHARS, hot_rows: int = HOT_ROWS, hot_texts: int = HOT_TEXTS) -> DataFrame:

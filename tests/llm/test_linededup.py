@@ -225,3 +225,12 @@ def test_odd_rows(odd, clash):
     out = linededup.dedup_lines(clash)
     assert out.columns == [*clash.columns, "n_lines", "removed"] and sorted(map(repr, out.select(rows[0].__fields__).collect())) == sorted(map(repr, rows))
     assert linededup.dedup_lines(odd.limit(0)).collect() == []
+
+
+def test_candidates_do_not_wait_for_texts(docs, monkeypatch):
+    """Candidate lines are read from files: the shuffled texts that they were cut from need not stay on disk meanwhile."""
+    plans, groups = [], linededup.arrow_groups
+    monkeypatch.setattr(linededup, "arrow_groups", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or groups(df, *a))
+    rows = docs([(1, "one two three four five six seven"), (2, "one two three four five six seven eight")])
+    assert [r.removed for r in linededup.dedup_lines(rows).orderBy("doc_id").collect()] == [None, [0]]
+    assert len(plans) == 2 and "Join" not in plans[1]
